@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,3 +66,25 @@ def fresh(taken: list[str], name: str) -> str:
     while name.lower() in low:
         name = f"_{name}"
     return name
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent.parent
+        target = Path(tempfile.mkdtemp(prefix="lumenspan-")) / "lumenspan_package.zip"
+        with zipfile.ZipFile(target, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)
+
+
+def arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
