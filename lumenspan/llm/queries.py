@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenspan.llm import simhash
+from lumenspan.llm import decontam, pq, shared, simhash, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,36 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, max_diff=4)
 
 
+def op3_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and checksum, read back from token files."""
+    docs = _table(spark, sf_dir, "documents")
+    manifest = tokens.write_tokens(docs, shared.scratch(spark, "tokens"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return tokens.read_tokens(manifest)
+
+
+def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the benchmark matches in every document."""
+    found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op3_pq": op3_pq,
+    "op4_tokens": op4_tokens,
+    "op7_decontam": op7_decontam,
 }
 
 ORACLES: dict[str, str] = {}

@@ -6,8 +6,12 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
@@ -88,3 +92,14 @@ def arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """``batch`` in pieces of about ``limit`` bytes of a text or binary column, one row at least."""
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
