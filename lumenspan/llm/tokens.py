@@ -271,7 +271,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
 
     store, place = filesystem(folder)
     store.create_dir(place, recursive=True)
-    return shared.cut(shared.arrow(ordered, run, "part int, path string, n_docs long, n_ids long"), "token-manifest")
+    return shared.cut(shared.arrow(ordered, run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 _encoders: dict[str, ByteLevelEncoder] = {}
