@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenspan.llm import decontam, pq, shared, simhash, tokens, urls
+from lumenspan.llm import decontam, langid, maintext, pq, shared, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_tokens(manifest)
 
 
+def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return maintext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the benchmark matches in every document."""
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
@@ -44,6 +49,12 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page."""
     return urls.judge(_table(spark, sf_dir, "pages"), urls.RULES)
@@ -53,7 +64,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_pq": op3_pq,
     "op4_tokens": op4_tokens,
+    "op5_maintext": op5_maintext,
     "op7_decontam": op7_decontam,
+    "op9_langid": op9_langid,
     "op10_urls": op10_urls,
 }
 
