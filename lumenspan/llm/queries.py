@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenspan.llm import decontam, langid, maintext, pq, shared, simhash, tokens, urls
+from lumenspan.llm import decontam, langid, lines, maintext, pieces, pq, shared, simhash, tokens, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=4, max_diff=4)
 
 
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the boilerplate lines of its source."""
+    docs = _table(spark, sf_dir, "documents")
+    feeds = lambda c: F.char_length(c) - F.char_length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
+    out = lines.drop_boilerplate(docs.select("doc_id", "source", "text", "n_chars", F.col("text").alias("old")), length_col="n_chars")
+    return out.select("doc_id", "source", "text", "n_chars", (feeds("old") - feeds("text")).cast("long").alias("n_dropped"))
+
+
 def op3_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
     return pq.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
@@ -36,6 +44,14 @@ def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded in pieces and decoded again."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    same = F.col("text").eqNullSafe(F.col("decoded"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
+
+
 def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the benchmark matches in every document."""
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=13)
@@ -62,15 +78,18 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_lines": op2_lines,
     "op3_pq": op3_pq,
     "op4_tokens": op4_tokens,
     "op5_maintext": op5_maintext,
+    "op6_pieces": op6_pieces,
     "op7_decontam": op7_decontam,
     "op9_langid": op9_langid,
     "op10_urls": op10_urls,
 }
 
 ORACLES: dict[str, str] = {
+    "op2_lines": lines.ORACLE,
     "op10_urls": urls.ORACLE,
 }
 
