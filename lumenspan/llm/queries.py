@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenspan.llm import decontam, langid, lines, maintext, pieces, pq, shared, simhash, tokens, urls
+from lumenspan.llm import decontam, langid, lines, maintext, pieces, pq, shared, simhash, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,17 @@ def op7_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a response and a later revisit in WARC files, read back and resolved."""
+    files = warc.write_warc(warc.captures(_table(spark, sf_dir, "pages")), shared.scratch(spark, "warc"))
+    found = warc.resolve_revisits(warc.read_warc(files))
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+):", 1).try_cast("long")
+    headers = F.array_join(F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"])), "; ")
+    return found.select(
+        page("record_id").alias("page_id"), "canonical", "outcome", page("response_id").alias("response_page"), headers.alias("headers")
+    )
+
+
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     docs = _table(spark, sf_dir, "documents")
@@ -84,12 +95,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_maintext": op5_maintext,
     "op6_pieces": op6_pieces,
     "op7_decontam": op7_decontam,
+    "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_urls": op10_urls,
 }
 
 ORACLES: dict[str, str] = {
     "op2_lines": lines.ORACLE,
+    "op8_warc": warc.ORACLE,
     "op10_urls": urls.ORACLE,
 }
 
