@@ -20,7 +20,7 @@ from __future__ import annotations
 import io
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ MAGIC = b"PFORTOK1"
 BLOCK, LANES, PERCENTILE = 1024, 32, 90
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("exceptions", "<u2"), ("width", "u1"), ("pad", "u1", 3)])
 #: Blocks that a writer holds before it packs them, text taken at once, units a memo holds.
-HELD_BLOCKS, SLICE_BYTES, MEMO = 256, 8 << 20, 400_000
+HELD_BLOCKS, SLICE_BYTES, MEMO = 256, 4 << 20, 600_000
 
 
 def _bit_lengths(x: np.ndarray) -> np.ndarray:
@@ -186,52 +186,55 @@ class Reader:
             k = to
 
 
-class _Memo(dict):
-    def __init__(self, encode: Callable[[str], bytes], before: str) -> None:
-        self.encode, self.before = encode, before
-
-    def __missing__(self, unit: str) -> bytes:
-        if len(self) >= MEMO:
-            self.clear()
-        got = self.encode(self.before + unit)
-        if len(unit) <= 64:
-            self[unit] = got
-        return got
-
-
 class ByteLevelEncoder:
     """A byte-level BPE tokenizer of the ``tokenizers`` library that meets each unit once.
 
     Such a tokenizer never joins a word to what stands before the space or line feed in front of
     it. So a text whose white space is single spaces and line feeds between words is the units
-    " word" and "\\n", each encoded by the library at its first sight. Any other text, and one that
-    may hold a special token, is encoded by the library as a whole.
+    " word" and line feed, which the library encodes in batches, each at its first sight. Any other
+    text, and one that may hold a special token, is encoded by the library as a whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.plain, self.spaced = _Memo(self.whole, ""), _Memo(self.whole, " ")
-        self.feed = self.whole("\n")
+        self.memo: dict[str, bytes] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _units(self, text: str) -> list[str]:
+        if not text:
+            return []
+        even = " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text
+        if not even or any(s in text for s in self.special):
+            return [text]
+        return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
+
+    def _learn(self, units: set[str]) -> None:
+        new = units.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = units
+        names = list(new)
+        for unit, got in zip(names, self.library.encode_batch_fast(names, add_special_tokens=False), strict=True):
+            self.memo[unit] = np.array(got.ids, "<u4").tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        if " ".join(text.split()) != text.replace("\n", " ") or any(s in text for s in self.special):
-            return np.frombuffer(self.whole(text), "<u4")
-        if not text:
-            return np.zeros(0, np.uint32)
-        spaced, plain, feed, parts = self.spaced, self.plain, self.feed, []
-        for line in text.split("\n"):
-            words = line.split(" ")
-            if parts:
-                parts.append(feed)
-            parts.append(plain[words[0]])
-            parts += [spaced[w] for w in words[1:]]
-        return np.frombuffer(b"".join(parts), "<u4")
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [self._units(t) for t in texts]
+        units: set[str] = set()
+        for parts in split:
+            units.update(parts)
+        self._learn(units)
+        memo = self.memo
+        out = [np.frombuffer(b"".join([memo[u] for u in parts]), "<u4") for parts in split]
+        for unit in units:
+            if len(unit) > 64:
+                del memo[unit]
+        return out
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -263,8 +266,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
                 if writer is None and batch.num_rows:
                     store, place = filesystem(path)
                     encoder, writer = _encoder(tokenizer), Writer(store.open_output_stream(place))
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    writer.add(doc_id, np.concatenate([encoder.encode(text), end]))
+                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode_many(batch.column(1).to_pylist()), strict=True):
+                    writer.add(doc_id, np.concatenate([ids, end]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(writer.doc_ids)], "n_ids": [writer.n_ids]})

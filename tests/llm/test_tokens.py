@@ -56,7 +56,7 @@ def test_encoder_equals_library(text):
 
 def test_special_token_text():
     own = tokens._encoder(PATH)
-    for text in ("a <|endoftext|> b", "a b\nc's d", "", " a", "a\n"):
+    for text in ("a <|endoftext|> b", "a b\nc's d", "", " a", "a\n", "a\0b c\nd", "z" * 99 + " a"):
         assert own.encode(text).tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
