@@ -84,17 +84,18 @@ def _bits(words: list[bytes], k: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """``(id_col, fp long)`` for every row. A null text has no words."""
+def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4) -> DataFrame:
+    """``docs`` with the column ``text_col`` replaced by ``fp long``. A null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
             out = np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out)], [*batch.schema.names[:-1], "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return shared.arrow(docs.select(id_col, F.col(text_col).cast("string").alias("text")), run, f"`{id_col}` {kind}, fp long")
+    others = [c for c in docs.columns if c != text_col]
+    schema = docs.select(*others, F.lit(0).cast("long").alias("fp")).schema
+    return shared.arrow(docs.select(*others, F.col(text_col).cast("string")), run, schema)
 
 
 def triples(positions: int = 8) -> list[tuple[int, ...]]:
@@ -248,12 +249,47 @@ def near_duplicates(
     null where no row of the component has an id. Repeated rows stay repeated. An empty table
     gives an empty result. Other columns of ``docs`` are not looked at.
     """
-    table = shared.cut(fingerprints(docs, id_col, text_col, words).withColumnRenamed(id_col, "id"), "fingerprints")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    table = shared.cut(fingerprints(rows, "text", words), "fingerprints")
+    by_fp = _named(table, max_diff, list_rows)
+    return table.join(by_fp, "fp").select(
+        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
+def _named(table: DataFrame, max_diff: int, list_rows: int) -> DataFrame:
+    """``(fp, component_id)`` of the distinct fingerprints of ``(id, fp)`` rows."""
     least = table.groupBy("fp").agg(F.min("id").alias("least_id"))
     found = components(links(least.select("fp"), max_diff, list_rows))
     rooted = least.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_fp = rooted.join(named, "root").select("fp", "component_id")
-    return table.join(by_fp, "fp").select(
-        F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    return rooted.join(named, "root").select("fp", "component_id")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_diff: int = 4, list_rows: int = LIST_ROWS
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay if one of each group of near-duplicates does.
+
+    Groups are those of ``near_duplicates``; the row with the smallest id stays (null ids come
+    last, of equal ids the least hash of the whole row), and one of rows that are equal in all.
+    """
+    key, near = shared.fresh(docs.columns, "row_key"), shared.fresh(docs.columns, "row_id")
+    keyed = docs.withColumn(key, F.xxhash64(*[F.to_json(F.struct(F.col(c).alias("c"))) if _nested(docs, c) else F.col(c) for c in docs.columns]))
+    rows = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(text_col).alias("text"))
+    table = shared.cut(fingerprints(rows, "text", words), "fingerprints")
+    least = table.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    found = components(links(least.select("fp"), max_diff, list_rows))
+    rooted = least.join(found, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.key")
+    times = table.groupBy("id", "key").agg(F.count("*").alias("times"))
+    kept = first.join(times, first["id"].eqNullSafe(times["id"]) & (first["key"] == times["key"])).select(
+        first["id"].alias(near), first["key"].alias(f"{key}_kept"), "times"
     )
+    stay = keyed.join(kept.withColumnRenamed("times", f"{key}_times"), F.col(id_col).eqNullSafe(F.col(near)) & (F.col(key) == F.col(f"{key}_kept")))
+    once = stay.where(F.col(f"{key}_times") == 1).select(docs.columns)
+    return once.union(stay.where(F.col(f"{key}_times") > 1).dropDuplicates([id_col, key]).select(docs.columns))
+
+
+def _nested(docs: DataFrame, column: str) -> bool:
+    return docs.schema[column].dataType.simpleString().startswith("map")

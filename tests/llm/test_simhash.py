@@ -99,3 +99,16 @@ def test_near_duplicates(spark):
     assert got == want
     assert {g[0]: g[2] for g in got}[6] == 4
     assert simhash.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_keep_one(spark):
+    long = " ".join(f"word{i}" for i in range(400))
+    other = " ".join(f"other{i}" for i in range(300))
+    data = [(4, long, "x"), (2, long, "y"), (3, long + " z", "z"), (4, None, None), (5, "", "x"), (9, other, "q"), (9, other, "q"), (9, other, "p"), (None, other, "n"), (None, "lone text here", "n"), (7, "lone two", "n"), (7, "lone three", "n")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, times string")
+    got = simhash.keep_one(docs)
+    assert got.schema == docs.schema
+    rows = sorted(got.collect(), key=str)
+    want = [(2, long), (4, None), (9, other), (None, "lone text here"), (7, "lone two"), (7, "lone three")]
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(want, key=str)
+    assert simhash.keep_one(docs.limit(0)).collect() == []
