@@ -1,15 +1,14 @@
-"""The queries over the driver's tables, with the SQL that each must equal."""
+"""All queries over the driver's tables, with the SQL that each must equal."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lumenspan.plans import groups, joins, scans  # noqa: F401  they register their queries
+from lumenspan.plans.shared import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
