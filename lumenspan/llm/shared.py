@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -89,8 +90,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors."""
+    """``df.mapInArrow`` with this package on the executors, in batches of a few megabytes."""
     ship(df.sparkSession)
+    for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(re.sub(r"\D", "", df.sparkSession.conf.get(name)) or 0)
+        if not 0 < now <= most:
+            df.sparkSession.conf.set(name, most)
     return df.mapInArrow(function, schema)
 
 
