@@ -240,8 +240,8 @@ def first_sentence(spark, sf_dir):
     r"""WITH w AS (SELECT doc_id, text, substr(text, 1, 1000) AS w, CASE doc_id % 3 WHEN 0 THEN 'sql' WHEN 1 THEN 'py' ELSE 'txt' END AS kind FROM documents),
     c AS (SELECT *, CASE WHEN kind = 'sql' AND contains(w, ';') THEN length(w) - position(';' IN reverse(w)) + 1 END AS q, CASE WHEN contains(w, chr(10)) THEN length(w) - position(chr(10) IN reverse(w)) + 1 END AS nl,
       CASE WHEN contains(w, chr(10) || chr(10)) THEN length(w) - position(chr(10) || chr(10) IN reverse(w)) + 1 END AS b FROM w),
-    p AS (SELECT *, CASE kind WHEN 'sql' THEN coalesce(q + CASE WHEN substr(text, q + 1, 1) = chr(10) THEN 1 ELSE 0 END, 1000) WHEN 'py' THEN coalesce(b, nl, 1000) ELSE coalesce(nl, 1000) END AS at FROM c)
-    SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, at) || chr(10) || '-- [truncated: ' || (length(text) - at) || ' bytes omitted]' || chr(10) END AS cut FROM p"""
+    p AS (SELECT *, CASE kind WHEN 'sql' THEN coalesce(q + CASE WHEN substr(text, q + 1, 1) = chr(10) THEN 1 ELSE 0 END, 1000) WHEN 'py' THEN coalesce(b, nl, 1000) ELSE coalesce(nl, 1000) END AS place FROM c)
+    SELECT doc_id, CASE WHEN length(text) <= 1000 THEN text ELSE substr(text, 1, place) || chr(10) || '-- [truncated: ' || (length(text) - place) || ' bytes omitted]' || chr(10) END AS cut FROM p"""
 )
 def truncate_boundary(spark, sf_dir):
     name = F.concat(F.lit("f."), F.get(F.array(F.lit("sql"), F.lit("py"), F.lit("txt")), F.col("doc_id") % 3))
