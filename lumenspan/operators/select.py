@@ -42,7 +42,7 @@ def byte_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], size:
     ``truncated`` where the row alone is over ``file_cap`` and ``ok`` where not.
     """
     by = Window.partitionBy(*keys).orderBy(*order)
-    own = F.least(size, file_cap if isinstance(file_cap, Column) else F.lit(file_cap))
+    own = F.when(size.isNotNull(), F.least(size, file_cap if isinstance(file_cap, Column) else F.lit(file_cap)))
     out = df.withColumn("_n", F.row_number().over(by)).withColumn("_own", F.when((F.col("_n") <= files), F.coalesce(own, F.lit(0))).otherwise(0))
     before = F.coalesce(F.sum("_own").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     status = (
