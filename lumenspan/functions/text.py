@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, functions as F
 
 # Line separators that end a line of text.
@@ -181,3 +183,17 @@ def front_matter(text: Column) -> Column:
     keyed = F.transform(pairs, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), strip(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("v")))
     last = F.filter(keyed, lambda p, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(last)
+
+
+def hmac_sha256(body: Column, key: str) -> Column:
+    """Hexadecimal HMAC-SHA256 of a binary column under a key that is known when the plan is made."""
+    raw = key.encode()
+    raw = hashlib.sha256(raw).digest() if len(raw) > 64 else raw
+    pads = [bytes(b ^ pad for b in raw.ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+    inner = F.unhex(F.sha2(F.concat(F.lit(bytearray(pads[0])), body), 256))
+    return F.sha2(F.concat(F.lit(bytearray(pads[1])), inner), 256)
+
+
+def signed(body: Column, signature: Column, key: str) -> Column:
+    """Whether ``signature`` is ``sha256=`` and the body's HMAC; always true without a key."""
+    return F.coalesce(F.concat(F.lit("sha256="), hmac_sha256(body, key)) == signature, F.lit(False)) if key else F.lit(True)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenspan.functions import text as T
-from lumenspan.operators import audit, coverage, features, findings, graph, index, lineage, lines, pipelines, reports, rules, schema_changes, similar, symbols
+from lumenspan.operators import audit, coverage, features, findings, graph, index, lineage, lines, names, pipelines, reports, rules, schema_changes, similar, symbols
 from lumenspan.plans import fixtures as X
-from lumenspan.plans.shared import query
+from lumenspan.plans.shared import query, table
 from lumenspan.schemas import COMMENTS
 
 
@@ -200,3 +200,36 @@ def repo_ratings(spark, sf_dir):
         F.lit(3).alias("audit_scanned"), F.lit(5).alias("audit_eligible"),
     )
     return findings.ratings(profile).select("repo", "overall_grade", "secrets_status", "testability_score", "maintainability_score")
+
+
+@query("SELECT 'ORDERS' AS name")
+def changed_names(spark, sf_dir):
+    return names.changed_names(cursor(spark)).select("name")
+
+
+@query("SELECT * FROM (VALUES ('tests/test_service.py', 1)) v(file, level)")
+def caller_files(spark, sf_dir):
+    changed = spark.createDataFrame([("shop", "app/service.py")], "repo string, file string")
+    wanted = spark.createDataFrame([("kept",)], "name string")
+    return names.caller_files(index.build(code(spark)), wanted, changed, 5).select("file", "level")
+
+
+@query("SELECT source, bool_or(contains(lower(source), 'src1')) AS schema, false AS pipeline, count(*) AS n FROM documents GROUP BY source")
+def path_gates(spark, sf_dir):
+    grouped = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).withColumn("files", F.array("source"))
+    return grouped.select("source", names.gate(F.col("files"), ["src1"]).alias("schema"), names.gate(F.col("files"), names.GATES["pipeline"]).alias("pipeline"), "n")
+
+
+@query("SELECT * FROM (VALUES ('etl/report.py'), ('models/schema.yml')) v(path)")
+def flow_files(spark, sf_dir):
+    return names.flow_files(code(spark)).select("path")
+
+
+@query(
+    """SELECT CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS age, count(*) AS n
+    FROM (SELECT epoch(max(ts) OVER ())::BIGINT - epoch(ts)::BIGINT AS s FROM events) GROUP BY 1"""
+)
+def age_labels(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.unix_timestamp(F.col("ts").cast("timestamp")).alias("s"))
+    now = rows.agg(F.max("s").alias("now"))  # one row
+    return rows.crossJoin(F.broadcast(now)).groupBy(T.age_label(F.col("now") - F.col("s")).alias("age")).agg(F.count("*").alias("n"))

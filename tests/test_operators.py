@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions import text as T
-from lumenspan.operators import audit, coverage, features, findings, graph, index, joins, lineage, lines, pipelines, reports, rules, schema_changes, select, similar, stores, symbols
+from lumenspan.operators import audit, coverage, features, findings, graph, index, joins, lineage, lines, names, pipelines, reports, rules, schema_changes, select, similar, stores, symbols
 from lumenspan.plans import changes as queries
 from lumenspan.plans import fixtures as X
 from lumenspan.sources import landed, sinks
@@ -322,3 +322,28 @@ def test_audit_pairs():
     assert found("a.yml", "on_failure:\n - [EMAIL_ADDRESS: a@b.org]") == set()
     assert found("a.py", '.option("mergeSchema", "true")') == {"SchemaDriftChecker"}
     assert found("a.md", "password = 'abcdefgh'") == set() and found("a.py", None) == set()
+
+
+def test_signatures(spark):
+    import hashlib
+    import hmac
+
+    for key in ("k", "long" * 40):
+        want = "sha256=" + hmac.new(key.encode(), "bödy".encode(), hashlib.sha256).hexdigest()
+        rows = spark.createDataFrame([("bödy", want), ("bödy", "sha256=0"), ("bödy", None)], "b string, s string")
+        got = [r.x for r in rows.select(T.signed(F.col("b").cast("binary"), F.col("s"), key).alias("x")).collect()]
+        assert got == [True, False, False]
+    assert one(spark, T.signed(F.col("t").cast("binary"), F.lit("x"), ""), t="b")
+
+
+def test_names(spark):
+    f = lambda column, text: one(spark, column(F.col("t")), t=text)
+    assert f(names.downstream_of, "Risk. Downstream: mart.a, mart.b.") == "mart.a, mart.b" and f(names.downstream_of, "downstream: none") == ""
+    rows = [("p", "added", "def run(x):"), ("p", "removed", "async def old(x):"), ("p", "added", "def __init__(self):"), ("p", "added", "CREATE OR REPLACE TABLE a.b.c ("), ("p", "added", "DROP TABLE x.tmp"), ("p", "context", "def kept():")]
+    cursor = spark.createDataFrame(rows, "pr_id string, change string, text string")
+    assert [r.name for r in names.changed_names(cursor).orderBy("name").collect()] == ["A.B.C", "C", "old", "run"]
+    layers = spark.createDataFrame([("r", "DB models", "x"), ("r", "API routes", "y"), ("r", "other", "z")], "repo string, name string, description string")
+    assert tuple(names.layer_hints(layers, "repo").first()) == ("r", ["DB models: x"], ["API routes: y"])
+    table = spark.createDataFrame([([["a|b", None]],)], "rows array<array<string>>")
+    assert table.select(names.as_table(["X", "Y"], F.col("rows"))).first()[0] == "| X | Y |\n|---|---|\n| a\\|b |  |"
+    assert {r.status: (r.files, r.bytes) for r in names.manifest(spark.createDataFrame([("ok", 2), ("ok", 3), ("error", None)], "status string, size int")).collect()} == {"ok": (2, 5), "error": (1, 0)}
