@@ -37,7 +37,7 @@ MAGIC = b"PFORTOK1"
 BLOCK, LANES, PERCENTILE = 1024, 32, 90
 HEAD = np.dtype([("least", "<u4"), ("n", "<u2"), ("exceptions", "<u2"), ("width", "u1"), ("pad", "u1", 3)])
 #: Blocks that a writer holds before it packs them, text taken at once, units a memo holds.
-HELD_BLOCKS, SLICE_BYTES, MEMO = 256, 8 << 20, 500_000
+HELD_BLOCKS, SLICE_BYTES, MEMO = 256, 8 << 20, 1_000_000
 #: A letter or digit and the punctuation behind it; no token of byte-level BPE has the two in this order.
 WORD_END = r"([A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([!-/:-@\[-`{-~])"
 #: White space other than space and line feed, and the mark that cuts units: a text with one is odd.
@@ -224,7 +224,7 @@ class ByteLevelEncoder:
                 parts[i] = array("I", got.ids).tobytes()
                 if len(units[i]) <= 64:
                     memo[units[i]] = parts[i]
-        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return np.frombuffer(b"".join(parts), np.uint32), np.fromiter(map(len, parts), np.int32, len(parts)) // 4
 
     def encode(self, text: str) -> np.ndarray:
         return self.encode_many(pa.array([text], pa.string()))[0]
@@ -237,11 +237,13 @@ class ByteLevelEncoder:
         units = pc.split_pattern(marked, "\x01")
         numbered = units.flatten().dictionary_encode()
         ids, lengths = self._ids(numbered.dictionary.to_pylist())
-        begins = np.cumsum(lengths) - lengths
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
         number = numbered.indices.to_numpy()
         size = lengths[number]
-        ends = np.cumsum(size)
-        out = ids[np.repeat(begins[number] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(size, dtype=np.int32)
+        place = np.repeat(begins[number] - ends + size, size)
+        place += np.arange(len(place), dtype=np.int32)
+        out = ids[place]
         bounds = np.concatenate([[0], ends])[units.offsets.to_numpy() - units.offsets[0].as_py()]
         found = [out[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
