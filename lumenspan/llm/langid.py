@@ -6,8 +6,9 @@ norms of both. Landmark texts give a Nystroem map of it, and one ridge regressio
 solved in that space, each against the rest. Texts are scored in batches: presence matrix times
 landmark matrix gives the kernels, kernels times coefficients the scores.
 
-Fitting takes a bounded sample of labelled rows: at most ``PER_LANGUAGE`` texts of each language, the
-first ones by a hash, of at most ``FIT_CHARS`` characters. Scoring takes whole texts.
+Fitting takes a bounded sample of labelled rows: ``FIT_ROWS`` texts of at most ``FIT_CHARS`` characters,
+at most ``PER_LANGUAGE`` of each language, the first ones by a hash; the ``LANGUAGES`` most frequent
+languages are learned. Scoring takes whole texts.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from lumenspan.llm import shared
 
 #: Texts a language that a model is fitted on, landmarks among them, and characters of such a text.
 PER_LANGUAGE, LANDMARKS, FIT_CHARS = 250, 24, 20_000
+#: Languages, texts and landmarks at most in all.
+LANGUAGES, FIT_ROWS, ALL_LANDMARKS = 400, 4_000, 800
 #: Symbols that are told apart; all other letters are one more. N-grams are up to three long.
 SYMBOLS, RIDGE, STEEPNESS = 120, 1e-3, 4.0
 #: Characters of text, and rows, that are scored at once.
@@ -96,6 +99,7 @@ class Model:
 
     def __init__(self, texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> None:
         self.languages = sorted(set(languages))
+        landmarks = max(1, min(landmarks, ALL_LANDMARKS // max(1, len(self.languages))))
         chosen = [i for name in self.languages for i in [k for k, x in enumerate(languages) if x == name][:landmarks]]
         self.spectrum = Spectrum([texts[i] for i in chosen])
         self.landmarks = self._unit(self.spectrum.present([texts[i] for i in chosen])[0])
@@ -144,8 +148,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     key, text = F.col(id_col), F.col(text_col).cast("string")
     open_rows = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & text.isNotNull() & (F.char_length(text) <= FIT_CHARS))
     rows = open_rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(key.cast("string"), text).alias("draw"))
+    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    each = max(1, min(per_language, FIT_ROWS // max(1, len(names))))
     first = Window.partitionBy("lang").orderBy("draw")
-    drawn = rows.select("lang", "draw").withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_language).select("lang", "draw").distinct()
+    ranked = rows.where(F.col("lang").isin(names)).select("lang", "draw").withColumn("n", F.row_number().over(first))
+    drawn = ranked.where(F.col("n") <= each).select("lang", "draw").distinct()
     texts = rows.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()
     texts = sorted((r.lang, r.draw, r.text) for r in texts)
     return Model([t for _, _, t in texts], [name for name, _, _ in texts])

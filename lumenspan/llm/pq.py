@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from lumenspan.llm import shared
 from lumenspan.llm.components import components
 
-#: Rows that centres and codebooks are fitted on, at most.
-SAMPLE_ROWS = 16_384
+#: Rows that centres and codebooks are fitted on, and bytes of them and of the centres, at most (twice so, at worst).
+SAMPLE_ROWS, SAMPLE_BYTES, CENTRE_BYTES = 16_384, 64 << 20, 16 << 20
 #: Index entries that a list should have, and lists at most.
 LIST_ROWS, MOST_LISTS = 128, 4096
 #: Entries or askers of a cell, and pairs whose distances are held at once.
@@ -240,10 +240,11 @@ def near_duplicates(
 
 def _links(distinct, n, width, threshold, probes, margin, sample_rows, list_rows, cell_rows) -> DataFrame:
     spark = distinct.sparkSession
+    sample_rows = max(256, min(sample_rows, SAMPLE_BYTES // (8 * width)))
     every = -(-n // sample_rows)
     sample = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(every)) == 0) if every > 1 else distinct
     drawn = [bytes(r.vec) for r in sample.select("vec").limit(2 * sample_rows).collect()] or [bytes(distinct.first().vec)]
-    lists = int(min(MOST_LISTS, max(1, n // list_rows)))
+    lists = int(min(MOST_LISTS, max(1, n // list_rows), max(16, CENTRE_BYTES // (8 * width))))
     fitted = Quantiser.fit(_unit(pa.array(sorted(drawn), pa.binary()), width), lists, probes, margin)
     book = spark.sparkContext.broadcast(fitted)
 
