@@ -149,16 +149,18 @@ def rate_window(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id", "event_id", F.count("*").over(by).alias("calls"))
 
 
-UPSERT_SQL = """WITH o AS (SELECT * FROM events WHERE event_id % 3 <> 0), n AS (SELECT * REPLACE (value + 1 AS value) FROM events WHERE event_id % 3 <> 1)
+UPSERT_SQL = """WITH o AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-20'), n AS (SELECT * REPLACE (value + 1 AS value) FROM events WHERE ts >= TIMESTAMP '2024-01-10')
   SELECT user_id, event_type, event_id, round(value, 6) AS value FROM (SELECT *, 0 AS side FROM o UNION ALL SELECT *, 1 FROM n)
   QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC, side DESC) = 1"""
 
 
 @query(UPSERT_SQL)
 def upsert_latest(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value")
-    new = events.where("event_id % 3 <> 1").withColumn("value", F.col("value") + 1)
-    return stores.upsert(events.where("event_id % 3 <> 0"), new, ["user_id", "event_type"], "event_id").withColumn("value", F.round("value", 6))
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value", "ts")
+    stamp = lambda t: F.lit(t).cast("timestamp_ntz")
+    old, new = events.where(F.col("ts") < stamp("2024-01-20")), events.where(F.col("ts") >= stamp("2024-01-10"))
+    kept = stores.upsert(old, new.withColumn("value", F.col("value") + 1), ["user_id", "event_type"], "event_id")
+    return kept.drop("ts").withColumn("value", F.round("value", 6))
 
 
 @query(
@@ -211,19 +213,19 @@ def index_search(spark, sf_dir):
 
 
 @query(
-    f"""WITH {TOKENS_SQL}, w AS (SELECT DISTINCT lower(unnest(string_split_regex(text, '[^A-Za-z0-9_]+'))) AS word FROM benchmark WHERE item_id < 20),
+    f"""WITH {TOKENS_SQL}, w AS (SELECT DISTINCT lower(unnest(string_split_regex(text, '[^A-Za-z0-9_]+'))) AS word FROM benchmark),
     m AS (SELECT DISTINCT lower(name) AS word, doc_id, line FROM t)
     SELECT word, doc_id, line FROM m SEMI JOIN w USING (word) WHERE length(word) >= 3 QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id, line) <= 20"""
 )
 def word_consumers(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").where("item_id < 20").select(F.explode(lines.tokens(F.lower("text"))).alias("word")).distinct()
+    words = table(spark, sf_dir, "benchmark").select(F.explode(lines.tokens(F.lower("text"))).alias("word")).distinct()
     found = _index(spark, sf_dir).select(F.lower("name").alias("word"), "doc_id", "line").where(F.char_length("word") >= 3).distinct()
     return select.top_n(found.join(words, "word", "left_semi"), ["word"], 20, "doc_id", "line")
 
 
-@query("SELECT doc_id, substr(trim(regexp_replace(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ' '), 1, 60) AS slug FROM documents")
+@query("SELECT doc_id, substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ' '), 1, 60) AS slug FROM documents")
 def slug(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.substring("text", 1, 200)).alias("slug"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query(
@@ -251,10 +253,10 @@ def truncate_boundary(spark, sf_dir):
 @query(
     r"""SELECT doc_id, trim(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(t, '\b[A-Z][A-Z0-9]*(?:\.[A-Z][A-Z0-9_]*)+\b', '', 'g'),
       '\b[A-Z][A-Z0-9_]{3,}\b', '', 'g'), '\b\d+\b', 'N', 'g')), '\s+', ' ', 'g')) AS comment
-    FROM (SELECT doc_id, regexp_replace(substr(text, 1, 2000), '[^ -~\n]', '', 'g') AS t FROM documents)"""
+    FROM (SELECT doc_id, regexp_replace(text, '[^ -~\n]', '', 'g') AS t FROM documents)"""
 )
 def normalize_comment(spark, sf_dir):
-    plain = F.regexp_replace(F.substring("text", 1, 2000), r"[^ -~\n]", "")
+    plain = F.regexp_replace("text", r"[^ -~\n]", "")
     return table(spark, sf_dir, "documents").select("doc_id", T.normalized_comment(plain).alias("comment"))
 
 

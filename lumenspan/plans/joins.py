@@ -31,13 +31,13 @@ def full_outer_diff(spark, sf_dir):
 
 
 @query(
-    """WITH r AS (SELECT p_type, p_size, p_partkey AS old, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 0),
-    a AS (SELECT p_type, p_size, p_partkey AS new, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_partkey) AS k FROM part WHERE p_partkey % 2 = 1)
-    SELECT p_type, p_size, old, new FROM r JOIN a USING (p_type, p_size, k)"""
+    """WITH r AS (SELECT p_type, p_brand, p_partkey AS old, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size <= 25),
+    a AS (SELECT p_type, p_brand, p_partkey AS new, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS k FROM part WHERE p_size > 25)
+    SELECT p_type, p_brand, old, new FROM r JOIN a USING (p_type, p_brand, k)"""
 )
 def rename_pairing(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    return joins.paired(part.where("p_partkey % 2 = 0"), part.where("p_partkey % 2 = 1"), ["p_type", "p_size"], "p_partkey")
+    return joins.paired(part.where("p_size <= 25"), part.where("p_size > 25"), ["p_type", "p_brand"], "p_partkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_custkey IS NOT NULL)")
@@ -47,22 +47,25 @@ def anti_unreviewed(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey <= 20), s AS (SELECT DISTINCT l_orderkey FROM lineitem SEMI JOIN c USING (l_partkey))
+    """WITH c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), s AS (SELECT DISTINCT l_orderkey FROM lineitem SEMI JOIN c USING (l_partkey))
     SELECT o_orderkey FROM orders JOIN s ON o_orderkey = l_orderkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 5"""
 )
 def overlap_recent5(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     history = orders.join(items.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
-    return stores.related(history, ["o_orderkey"], "l_partkey", items.where("l_orderkey <= 20"), [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey")
+    changed = items.where("l_quantity = 50 and l_returnflag = 'R'")
+    return stores.related(history, ["o_orderkey"], "l_partkey", changed, [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey")
 
 
 @query(
-    """SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50) OR p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey < 3)"""
+    """SELECT p_partkey FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 50)
+    OR p_partkey IN (SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal < 0)"""
 )
 def or_semi(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    used = table(spark, sf_dir, "lineitem").where("l_suppkey < 3").select(F.col("l_partkey").alias("p_partkey"))
+    poor = table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("l_suppkey"))
+    used = table(spark, sf_dir, "lineitem").join(poor, "l_suppkey", "left_semi").select(F.col("l_partkey").alias("p_partkey"))
     return joins.either(part.select("p_partkey", "p_brand"), [(part.where("p_size = 50"), "p_brand"), (used, "p_partkey")]).select("p_partkey")
 
 

@@ -124,14 +124,14 @@ def verdict_rules(spark, sf_dir):
 
 @query(
     f"""WITH {FINDINGS_SQL}, d AS (SELECT doc_id, line, rule_id FROM findings WHERE severity IN ('critical', 'high')),
-    e AS (SELECT doc_id, 0 AS line, 'LBL' AS rule_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, line, rule_id FROM findings WHERE doc_id % 2 = 0)
+    e AS (SELECT doc_id, 0 AS line, 'LBL' AS rule_id FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, line, rule_id FROM findings)
     SELECT * FROM d UNION ALL SELECT DISTINCT doc_id, line::INT, rule_id FROM e ANTI JOIN d USING (doc_id, line, rule_id)"""
 )
 def fills_gap_merge(spark, sf_dir):
     found = document_findings(spark, sf_dir).select("doc_id", "line", "rule_id", "severity")
     first = found.where("severity in ('critical', 'high')").drop("severity")
     labels = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit(0).alias("line"), F.lit("LBL").alias("rule_id"))
-    second = labels.unionByName(found.where("doc_id % 2 = 0").drop("severity"))
+    second = labels.unionByName(found.drop("severity"))
     return findings.fill_gaps(first, second, ["doc_id", "line", "rule_id"])
 
 
