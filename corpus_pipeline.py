@@ -36,7 +36,7 @@ def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, and whether they decode to it again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    both = pieces.encode(docs.select("doc_id", "lang", "source", "text"), model, decoded_col="decoded")
     same = F.col("text").eqNullSafe(F.col("decoded"))
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lumenspan.llm import shared
 
-MARK, PENALTY, MEMO, SLICE_BYTES = "▁", 10.0, 400_000, 4 << 20
+MARK, PENALTY, MEMO, SLICE_BYTES = "▁", 10.0, 150_000, 1 << 20
 
 
 class Pieces:
@@ -120,13 +120,15 @@ def load(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with an array of piece ids of each whole text in a new column.
 
+    With ``decoded_col``, what the ids decode to is a further column, made in the same pass.
     A null text has null ids, an empty one none. Rows, repeated or not, and columns stay as they are;
-    a column of the name ``ids_col`` is replaced.
+    columns of the names of new ones are replaced.
     """
-    base = docs.select([c for c in docs.columns if c.lower() != ids_col.lower()])
+    new = [ids_col, *([decoded_col] if decoded_col else [])]
+    base = docs.select([c for c in docs.columns if c.lower() not in {n.lower() for n in new}])
     at = base.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +136,14 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
         for whole in batches:
             for batch in shared.slices(whole, at, SLICE_BYTES):
                 ids = [None if t is None else pieces.encode(t) for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, ids_col])
-
-    return shared.arrow(base, run, base.withColumn(ids_col, F.lit(None).cast("array<int>")).schema)
+                made = [pa.array(ids, pa.list_(pa.int32()))]
+                if decoded_col:
+                    made.append(pa.array([None if i is None else pieces.decode(i) for i in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *new])
+        pieces.memo.clear()
+
+    full = base.withColumn(ids_col, F.lit(None).cast("array<int>"))
+    return shared.arrow(base, run, (full.withColumn(decoded_col, F.lit(None).cast("string")) if decoded_col else full).schema)
 
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:

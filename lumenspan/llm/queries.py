@@ -47,7 +47,7 @@ def op5_maintext(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded in pieces and decoded again."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    both = pieces.decode(pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    both = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), model, decoded_col="decoded")
     same = F.col("text").eqNullSafe(F.col("decoded"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"), same.alias("round_trip"))
 

@@ -3,18 +3,21 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lumenspan.functions.workers import ship
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -73,22 +76,6 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application."""
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        package = Path(__file__).resolve().parent.parent
-        target = Path(tempfile.mkdtemp(prefix="lumenspan-")) / "lumenspan_package.zip"
-        with zipfile.ZipFile(target, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(target))
-        _shipped.add(context.applicationId)
-
-
 def arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors, in batches of a few megabytes."""
     ship(df.sparkSession)
@@ -97,7 +84,20 @@ def arrow(df: DataFrame, function, schema: str) -> DataFrame:
         now = int(re.sub(r"\D", "", df.sparkSession.conf.get(name)) or 0)
         if not 0 < now <= most:
             df.sparkSession.conf.set(name, most)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        tidy()
+
+    return df.mapInArrow(run, schema)
+
+
+def tidy() -> None:
+    """Give memory that a task has used back to the system; Python workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:

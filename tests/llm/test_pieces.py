@@ -73,3 +73,5 @@ def test_spark(spark):
     table = got.collect()
     assert len(table) == len(rows) and all(r.decoded == r.text for r in table)
     assert pieces.encode(docs.limit(0), PATH).collect() == []
+    once = pieces.encode(docs, PATH, decoded_col="Text2")
+    assert once.columns == ["doc_id", "text", "ids", "Text2"] and all(r.Text2 == r.text for r in once.collect())
