@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumenspan.functions import text as T
@@ -9,6 +11,7 @@ from lumenspan.operators import audit, coverage, features, findings, graph, inde
 from lumenspan.plans import fixtures as X
 from lumenspan.plans.shared import query, table
 from lumenspan.schemas import COMMENTS
+from lumenspan.streaming import events
 
 
 def cursor(spark):
@@ -169,20 +172,42 @@ def review_kpis(spark, sf_dir):
     return reports.review_kpis(reports.grouped_reviews(_reviews(spark)))
 
 
+def _stream(spark, sf_dir):
+    """The events table as a stream of its files."""
+    source = f"{sf_dir}/events.parquet"
+    folder = _folder(spark, source)
+    reader = spark.readStream.schema(spark.read.parquet(source).schema).option("pathGlobFilter", "*.parquet" if folder else "events.parquet")
+    return reader.parquet(source if folder else sf_dir)
+
+
+def _all_of(stream, mode):
+    """What a stream gives until all its input has been read."""
+    name = f"stream_{uuid.uuid4().hex}"
+    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1")
 def event_stream(spark, sf_dir):
     """Events through the streaming engine: filtered and counted until all have been read."""
-    import uuid
+    wanted = _stream(spark, sf_dir).where(F.col("event_type").isin("purchase", "signup"))
+    return _all_of(wanted.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value")), "complete")
 
-    source = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    folder = _folder(spark, source)
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet" if folder else "events.parquet").parquet(source if folder else sf_dir)
-    name = f"events_{uuid.uuid4().hex}"
-    wanted = stream.where(F.col("event_type").isin("purchase", "signup")).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("value"))
-    run = wanted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey IS NOT NULL)")
+def unreviewed_stream(spark, sf_dir):
+    """Events of a stream whose key a table doesn't have."""
+    known = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("user_id"))
+    wanted = _stream(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id")
+    return _all_of(wanted.join(known, "user_id", "left_anti").select("event_id", "user_id"), "append")
+
+
+@query()
+def call_limits(spark, sf_dir):
+    """How long each event would wait if a user may make three calls in six hours."""
+    calls = _stream(spark, sf_dir).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
+    return _all_of(events.limited(calls, most=3, window=6 * 3600), "append")
 
 
 def _folder(spark, path):
