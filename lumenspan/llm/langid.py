@@ -148,10 +148,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     key, text = F.col(id_col), F.col(text_col).cast("string")
     open_rows = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & text.isNotNull() & (F.char_length(text) <= FIT_CHARS))
     rows = open_rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(key.cast("string"), text).alias("draw"))
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    each = max(1, min(per_language, FIT_ROWS // max(1, len(names))))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    each = max(1, min(per_language, FIT_ROWS // max(1, len(counts))))
+    # Draws are even over all 64-bit numbers: below these bounds lie some four times as many as are
+    # needed, whatever a language's share, so no language is a hot group of the ranking.
+    bounds = [F.lit(x) for r in counts for x in (r.lang, min(2**63 - 1, -(2**63) + (2**64) * (4 * each + 40) // r["count"]))]
+    low = rows.select("lang", "draw").where(F.col("draw") <= F.try_element_at(F.create_map(*bounds), F.col("lang"))) if counts else rows.select("lang", "draw")
     first = Window.partitionBy("lang").orderBy("draw")
-    ranked = rows.where(F.col("lang").isin(names)).select("lang", "draw").withColumn("n", F.row_number().over(first))
+    ranked = low.withColumn("n", F.row_number().over(first))
     drawn = ranked.where(F.col("n") <= each).select("lang", "draw").distinct()
     texts = rows.join(F.broadcast(drawn), ["lang", "draw"]).groupBy("lang", "draw").agg(F.min("text").alias("text")).collect()
     texts = sorted((r.lang, r.draw, r.text) for r in texts)

@@ -64,3 +64,15 @@ def test_held_out_accuracy(spark):
 def test_letters(text):
     model = langid.Model(["abc"], ["en"])
     assert model.predict([text])[0] == (["en"] if text == "ª" else ["und"])
+
+
+def test_draws_are_the_first_by_hash(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i * i} {chr(97 + i % 26)}", "en" if i % 10 else "de") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, per_language=60)
+    drawn = docs.where(~langid.held_out(F.col("doc_id"))).withColumn("draw", F.xxhash64(F.col("doc_id").cast("string"), "text")).collect()
+    first = [sorted((r.draw, r.text) for r in drawn if r.lang == name)[:60] for name in ("de", "en")]
+    want = langid.Model([t for f in first for _, t in f], ["de"] * 60 + ["en"] * 60)
+    assert (model.spectrum.n_grams == want.spectrum.n_grams).all() and np.allclose(model.weights, want.weights)
