@@ -19,8 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on many pages of a source are cut out of the texts."""
-    return lines.drop_boilerplate(docs, "source", "text", "n_chars")
+    """Lines on many pages of a source are cut out of all texts; near-equal pages count once."""
+    return lines.drop_boilerplate(docs, "source", "text", "n_chars", near_words=SHINGLE_WORDS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

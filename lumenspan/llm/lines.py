@@ -11,28 +11,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lumenspan.llm import shared
+from lumenspan.llm import shared, simhash
+from lumenspan.llm.components import components
 
 RATIO, LEAST_PAGES = 0.05, 3
+#: Bits of 64 that the fingerprints of near-equal pages may differ in.
+NEAR_BITS = 4
 
 
 def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("x"), F.xxhash64(line, F.lit(1)).alias("y"))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, near_words: int | None = None) -> DataFrame:
     """``(host, lines)``: keys of the boilerplate lines of each host that has some."""
     text = F.col(text_col).cast("string")
+    if near_words:
+        found = _near_pages(docs.where(text.isNotNull()).select(F.col(host_col).alias("host"), text.alias("text")), near_words)
+        totals = found.groupBy("host").agg(F.count_distinct("page").alias("pages"))
+        return _often(found.select("host", "page", F.explode("lines").alias("line")), totals, ratio, least_pages)
     pages = docs.where(text.isNotNull()).select(F.col(host_col).alias("host"), text.alias("text")).select("host", "text", _key(F.col("text")).alias("page"))
     totals = pages.groupBy("host").agg(F.count_distinct("page").alias("pages"))
     lines = pages.select("host", "page", F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))).alias("line"))
-    counts = lines.select("host", "page", _key(F.col("line")).alias("line")).groupBy("host", "line").agg(F.count_distinct("page").alias("n"))
+    return _often(lines.select("host", "page", _key(F.col("line")).alias("line")), totals, ratio, least_pages)
+
+
+def _near_pages(pages: DataFrame, words: int) -> DataFrame:
+    """``(host, page, lines)`` of ``(host, text)``: near-equal pages have one number, lines are keys."""
+    keys = F.transform(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")), _key)
+    rows = shared.cut(simhash.fingerprints(pages.select("host", keys.alias("lines"), "text"), "text", words), "page-fingerprints")
+    found = components(simhash.links(rows.select("fp").distinct(), NEAR_BITS))
+    return rows.distinct().join(found, F.col("fp") == F.col("node"), "left").select("host", F.coalesce("root", "fp").alias("page"), "lines")
+
+
+def _often(lines: DataFrame, totals: DataFrame, ratio: float, least_pages: int) -> DataFrame:
+    counts = lines.groupBy("host", "line").agg(F.count_distinct("page").alias("n"))
     often = counts.where(F.col("n") >= least_pages).join(totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of")))
     return often.where(F.col("n") > F.lit(float(ratio)) * F.col("pages")).groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def drop_boilerplate(
-    docs: DataFrame, host_col: str = "source", text_col: str = "text", length_col: str | None = None, ratio: float = RATIO, least_pages: int = LEAST_PAGES
+    docs: DataFrame,
+    host_col: str = "source",
+    text_col: str = "text",
+    length_col: str | None = None,
+    ratio: float = RATIO,
+    least_pages: int = LEAST_PAGES,
+    near_words: int | None = None,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, without the boilerplate lines of their host in the text.
 
@@ -41,16 +66,20 @@ def drop_boilerplate(
     would lose more than half of its characters is a copied page rather than one with boilerplate,
     and stays whole. ``length_col`` gets the new text's length, where named.
 
+    With ``near_words`` no text is spared. Copied pages are told by SimHash instead: pages whose
+    fingerprints over shingles of so many words are linked at ``NEAR_BITS`` bits count as one page.
+
     A null text stays null and is no page. Rows with a null host are one host. Repeated rows stay
     repeated and count as one page. An empty table gives no rows.
     """
-    found = shared.cut(boilerplate(docs, host_col, text_col, ratio, least_pages), "boilerplate")
+    found = shared.cut(boilerplate(docs, host_col, text_col, ratio, least_pages, near_words), "boilerplate")
     host, lines = shared.fresh(docs.columns, "host"), shared.fresh(docs.columns, "lines")
     joined = docs.join(found.toDF(host, lines), F.col(host_col).eqNullSafe(F.col(host)), "left")
     text = F.col(text_col).cast("string")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(F.col(lines), _key(x))), "\n")
     left = shared.fresh(docs.columns, "left")
-    new = F.when(F.col(left).isNull() | (2 * F.char_length(left) < F.char_length(text)), text).otherwise(F.col(left))
+    spared = F.lit(False) if near_words else 2 * F.char_length(left) < F.char_length(text)
+    new = F.when(F.col(left).isNull() | spared, text).otherwise(F.col(left))
     out = joined.withColumn(left, F.when(F.col(lines).isNotNull(), kept)).withColumn(text_col, new)
     if length_col:
         out = out.withColumn(length_col, F.char_length(F.col(text_col)).cast(docs.schema[length_col].dataType))

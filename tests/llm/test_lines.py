@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 from lumenspan.llm import lines, queries
+from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 
 def brute(rows):
@@ -40,3 +41,33 @@ def test_drop_boilerplate(spark, tmp_path):
     sql = con.execute(lines.ORACLE)
     names = [c[0] for c in sql.description]
     assert sorted(sql.fetchall(), key=str) == sorted((tuple(r[c] for c in names) for r in own.collect()), key=str)
+
+
+#: Frequency by page number, and no text spared.
+WHOLE = """
+WITH totals AS (SELECT source, count(DISTINCT page) AS n FROM documents WHERE text IS NOT NULL GROUP BY source),
+lines AS (SELECT DISTINCT source, page, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+often AS (
+  SELECT l.source, l.line FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
+  WHERE trim(line) <> '' GROUP BY l.source, l.line, t.n HAVING count(*) >= 3 AND count(*) > 0.05::DOUBLE * t.n),
+hosts AS (SELECT source, list(line) AS found FROM often GROUP BY source)
+SELECT doc_id, CASE WHEN found IS NULL THEN text ELSE
+  array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(found, x)), chr(10)) END
+FROM documents d LEFT JOIN hosts h ON d.source IS NOT DISTINCT FROM h.source
+"""
+
+
+def test_thin_pages_lose_boilerplate_and_near_copies_count_once(spark):
+    menu = "home news sport weather about us contact terms privacy cookies help"
+    story = [" ".join(f"w{k}x{j}" for j in range(100)) for k in range(4)]
+    rows = [(i, f"{menu}\n" + " ".join(f"a{i}b{j}" for j in range(4 + 9 * (i % 7))), "thin") for i in range(30)]
+    rows += [(100 + i, "\n".join([*story, f"copy {i}"]), "few") for i in range(4)] + [(110, "lone page", "few"), (111, None, "few"), (112, "x y", None)]
+    numbers = brute_components([(i, brute_fingerprint(t, 5)) for i, t, _ in rows], lines.NEAR_BITS)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR, page BIGINT)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?)", [(*r, n) for r, n in zip(rows, numbers, strict=True)])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.text for r in lines.drop_boilerplate(docs, near_words=5).collect()}
+    assert got == dict(con.execute(WHOLE).fetchall())
+    assert not any(menu in got[i] for i in range(30))
+    assert got[100] == rows[30][1]
