@@ -4,7 +4,9 @@ A page is a sequence of words and tags. Words score positive and tags negative;
 log odds of each kind of event inside and outside the main text of labelled pages. A linear scan
 finds the stretch of the highest sum. Words in elements that never hold main text (menus, headers,
 footers, sidebars, notices, adverts, forms, reader comments) are an event of their own with a
-negative weight, and they are left out where the stretch covers them.
+negative weight, and they are left out where the stretch covers them. Such an element inside an
+article or main element scores nothing, neither its words nor its tags, so however long it is it
+can't part the text before it from the text behind it.
 """
 
 from __future__ import annotations
@@ -53,22 +55,25 @@ _INLINE = frozenset(
     )
 )
 #: Text runs are kept by these kinds; words outside are dropped from a stretch.
-WORD, LINKED, EXCLUDED = "word", "linked word", "excluded word"
+WORD, LINKED, EXCLUDED, INSET = "word", "linked word", "excluded word", "excluded word in an article"
+_WORDS, _LEFT_OUT = frozenset((WORD, LINKED, EXCLUDED, INSET)), frozenset((EXCLUDED, INSET))
 
 
 def events(page: str) -> Iterator[tuple[str, int, str, bool]]:
     """(kind, words, text, whether a new block begins) of each text run and tag, in page order."""
     open_elements: list[tuple[str, bool]] = []
     outside = linked = 0
+    inset = False  # whether the outermost open element outside the main text stands in an article
     at = 0
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            yield from _run(page[at : m.start()], outside, linked)
+            yield from _run(page[at : m.start()], outside, linked, inset)
         at = m.end()
         name = (m["name"] or "").lower()
         if not name:
             yield "", 0, " " if (m["raw"] or "").lower() in ("", "svg") else "", False
             continue
+        silent = outside > 0 and inset
         if m["end"]:
             if any(n == name for n, _ in open_elements):
                 while open_elements:
@@ -80,22 +85,25 @@ def events(page: str) -> Iterator[tuple[str, int, str, bool]]:
         elif name not in _VOID and not m["rest"].endswith("/"):
             if name in ("article", "main") and outside and not any(n not in OUTSIDE and out for n, out in open_elements):
                 open_elements, outside = [(n, False) for n, _ in open_elements], 0  # a menu or header that was never closed
-            inside = name in ("header", "menu") and any(n in ("article", "main") for n, _ in open_elements)
+            within = any(n in ("article", "main") for n, _ in open_elements)
+            inside = name in ("header", "menu") and within
             out = (name in OUTSIDE and not inside) or (name not in _WHOLE and _hinted(m["rest"]))
+            if out and not outside:
+                inset = silent = within
             if name == "a" and linked:
                 linked = 0
                 open_elements = [x for x in open_elements if x[0] != "a"]
             open_elements.append((name, out))
             outside += out
             linked += name == "a"
-        yield f"<{name}>" if name not in ("article", "main") else "", 0, " " if name in ("br", "td", "th", "img") else "", name not in _INLINE and name not in ("td", "th")
+        yield f"<{name}>" if name not in ("article", "main") and not silent else "", 0, " " if name in ("br", "td", "th", "img") else "", name not in _INLINE and name not in ("td", "th")
     if at < len(page):
-        yield from _run(page[at:], outside, linked)
+        yield from _run(page[at:], outside, linked, inset)
 
 
-def _run(raw: str, outside: int, linked: int) -> Iterator[tuple[str, int, str, bool]]:
+def _run(raw: str, outside: int, linked: int, inset: bool) -> Iterator[tuple[str, int, str, bool]]:
     text = entities.unescape(raw)
-    yield EXCLUDED if outside > 0 else LINKED if linked > 0 else WORD, len(text.split()), text, False
+    yield (INSET if inset else EXCLUDED) if outside > 0 else LINKED if linked > 0 else WORD, len(text.split()), text, False
 
 
 def _hinted(attributes: str) -> bool:
@@ -112,12 +120,12 @@ def learn(pages: Iterable[str]) -> dict[str, float]:
         inside, after = rest.split("]]")
         for part, main in ((before, False), (inside, True), (after, False)):
             for kind, n, _, _ in events(part):
-                counts[main][kind] += n if kind in (WORD, LINKED, EXCLUDED) else 1
+                counts[main][kind] += n if kind in _WORDS else 1
     total = {main: sum(c.values()) + 1 for main, c in counts.items()}
     odds = lambda k: math.log((counts[True][k] + 0.5) / total[True]) - math.log((counts[False][k] + 0.5) / total[False])
     weights = {k: odds(k) for k in {*counts[True], *counts[False]} - {""}}
     tags = {k: min(-0.02, max(-0.5, w)) if w < 0 else -0.02 for k, w in weights.items() if k[0] == "<"}
-    return tags | {WORD: max(0.3, weights[WORD]), LINKED: min(-0.05, weights.get(LINKED, -1)), EXCLUDED: -2.0, "<>": -0.1}
+    return tags | {WORD: max(0.3, weights[WORD]), LINKED: min(-0.05, weights.get(LINKED, -1)), EXCLUDED: -2.0, INSET: 0.0, "<>": -0.1}
 
 
 @lru_cache(1)
@@ -134,7 +142,7 @@ def main_text(page: str | None, weight: dict[str, float] | None = None) -> str:
     other = weight["<>"]
     for i, (kind, n, _, _) in enumerate(seen):
         if kind:
-            total += weight[kind] * n if kind in (WORD, LINKED, EXCLUDED) else weight.get(kind, other)
+            total += weight[kind] * n if kind in _WORDS else weight.get(kind, other)
         if total < low:
             low, low_at = total, i + 1
         elif total - low > best:
@@ -144,7 +152,7 @@ def main_text(page: str | None, weight: dict[str, float] | None = None) -> str:
         if fresh:
             blocks.append(" ".join("".join(own).split()))
             own = []
-        if kind != EXCLUDED:
+        if kind not in _LEFT_OUT:
             own.append(text)
     blocks.append(" ".join("".join(own).split()))
     return "\n".join(b for b in blocks if b)

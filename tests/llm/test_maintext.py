@@ -62,6 +62,17 @@ def test_cases():
     assert f("only plain text") == "only plain text"
 
 
+@pytest.mark.parametrize("n", [12, 70, 5000])
+@pytest.mark.parametrize("box", ['<div class="share">{}</div>', "<aside>{}</aside>", "<form>{}</form>", '<div id="related"><ul>{}</ul></div>'])
+def test_long_excluded_blocks_in_the_article(box, n):
+    words = box.format(" ".join(f"<li>{k} more</li>" if "<ul>" in box else f"more{k}" for k in range(n)))
+    lead, body = " ".join(f"lead{k}" for k in range(40)), " ".join(f"body{k}" for k in range(90))
+    head = "six words stand in this headline"
+    for name in ("article", "main"):
+        page = f"<nav>{'menu ' * 30}</nav><{name}><h1>{head}</h1>{words}<p>{lead}</p>{words}<p>{body}</p></{name}><footer>{'end ' * 30}</footer>"
+        assert maintext.main_text(page) == f"{head}\n{lead}\n{body}"
+
+
 def article(page):
     inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
     blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
