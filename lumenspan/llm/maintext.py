@@ -45,6 +45,17 @@ HINTS = frozenset(
         *("footer", "masthead", "copyright", "imprint", "legal", "complementary", "contentinfo"),
     )
 )
+#: Of these, what a reader wrote: never main text, however long.
+_READERS = frozenset(("comment", "comments", "commentlist", "disqus", "respond", "replies", "reply"))
+#: Words that may stand beside a hint in one class name: of places, shapes and parts of pages.
+_PARTS = frozenset(
+    (
+        *("box", "bar", "list", "links", "link", "item", "items", "wrapper", "wrap", "container", "block", "section", "area", "panel", "row", "col"),
+        *("site", "page", "global", "main", "primary", "secondary", "top", "bottom", "left", "right", "inner", "outer", "header", "head", "body", "foot"),
+        *("content", "text", "title", "form", "button", "buttons", "icon", "icons", "media", "slot", "unit", "group", "thread", "story"),
+        *("post", "posts", "article", "articles", "stories", "news", "most", "us", "on", "this", "fixed", "sticky", "mobile", "desktop", "policy", "feed"),
+    )
+)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _WHOLE = frozenset(("html", "body", "main", "article"))
 _VOID = frozenset(("area", "base", "br", "col", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "embed"))
@@ -63,6 +74,7 @@ def events(page: str) -> Iterator[tuple[str, int, str, bool]]:
     """(kind, words, text, whether a new block begins) of each text run and tag, in page order."""
     open_elements: list[tuple[str, bool]] = []
     outside = linked = 0
+    holding = _holding(page)
     inset = False  # whether the outermost open element outside the main text stands in an article
     at = 0
     for m in _TOKEN.finditer(page):
@@ -87,7 +99,7 @@ def events(page: str) -> Iterator[tuple[str, int, str, bool]]:
                 open_elements, outside = [(n, False) for n, _ in open_elements], 0  # a menu or header that was never closed
             within = any(n in ("article", "main") for n, _ in open_elements)
             inside = name in ("header", "menu") and within
-            out = (name in OUTSIDE and not inside) or (name not in _WHOLE and _hinted(m["rest"]))
+            out = (name in OUTSIDE and not inside) or (name not in _WHOLE and bool(_hinted(m["rest"])) and m.start() not in holding)
             if out and not outside:
                 inset = silent = within
             if name == "a" and linked:
@@ -106,10 +118,66 @@ def _run(raw: str, outside: int, linked: int, inset: bool) -> Iterator[tuple[str
     yield (INSET if inset else EXCLUDED) if outside > 0 else LINKED if linked > 0 else WORD, len(text.split()), text, False
 
 
-def _hinted(attributes: str) -> bool:
+def _hinted(attributes: str) -> frozenset[str]:
+    """The hints of an element: class names that are one, also beside words of ``_PARTS`` and numbers."""
     if "=" not in attributes:
-        return False
-    return any(w in HINTS for found in _HINT.findall(attributes) for w in _SPLIT.split("".join(found).lower()))
+        return frozenset()
+    found = set()
+    for name in "".join(f"{''.join(x)} " for x in _HINT.findall(attributes)).lower().split():
+        words = {w for w in _SPLIT.split(name) if w and not w.isdigit()}
+        if words <= HINTS | _PARTS:
+            found |= words & HINTS
+    return frozenset(found)
+
+
+def _holding(page: str) -> set[int]:
+    """Where elements begin whose hints don't count: they hold main, or most of the unlinked words.
+
+    Words in elements of ``OUTSIDE`` and in readers' comments aren't counted, and an article alone
+    doesn't tell: comments and related boxes are often made of articles. Comments never hold main text.
+    """
+    open_elements: list[tuple[str, int, int, bool, bool]] = []  # name, begin if hinted, words before, outside, link
+    counted: list[tuple[int, int]] = []
+    held: set[int] = set()
+    words = outside = linked = at = 0
+
+    def close() -> str:
+        nonlocal outside, linked
+        name, begin, before, out, link = open_elements.pop()
+        outside, linked = outside - out, linked - link
+        if begin >= 0:
+            counted.append((begin, words - before))
+        return name
+
+    for m in _TOKEN.finditer(page):
+        if not outside and not linked and m.start() > at:
+            words += len(entities.unescape(page[at : m.start()]).split())
+        at = m.end()
+        name = (m["name"] or "").lower()
+        if not name:
+            continue
+        if m["end"]:
+            if any(x[0] == name for x in open_elements):
+                while close() != name:
+                    pass
+        elif name not in _VOID and not m["rest"].endswith("/"):
+            hints = frozenset() if name in _WHOLE or name in OUTSIDE else _hinted(m["rest"])
+            if name in ("article", "main") and outside and not any(x[3] and x[0] not in OUTSIDE for x in open_elements):
+                open_elements, outside = [(n, b, w, False, a) for n, b, w, _, a in open_elements], 0
+            if name == "main" and not outside:
+                held.update(x[1] for x in open_elements if x[1] >= 0)
+            out = bool(hints & _READERS) or (name in OUTSIDE and not (name in ("header", "menu") and any(x[0] in ("article", "main") for x in open_elements)))
+            if name == "a" and linked:
+                linked = 0
+                open_elements = [x for x in open_elements if x[0] != "a"]
+            open_elements.append((name, m.start() if hints and not out else -1, words, out, name == "a"))
+            outside += out
+            linked += name == "a"
+    if not outside and not linked:
+        words += len(entities.unescape(page[at:]).split())
+    while open_elements:
+        close()
+    return held | {begin for begin, n in counted if 2 * n > words}
 
 
 def learn(pages: Iterable[str]) -> dict[str, float]:

@@ -73,6 +73,28 @@ def test_long_excluded_blocks_in_the_article(box, n):
         assert maintext.main_text(page) == f"{head}\n{lead}\n{body}"
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ['class="content has-sidebar"', 'id="page" class="layout no-sidebar"', 'class="post category-legal"', "class='tags-travel'", 'class="content sidebar"', "id=search"],
+)
+@pytest.mark.parametrize("inner", ["article", "main", "div"])
+def test_hints_on_what_holds_the_main_text(wrapper, inner):
+    body = " ".join(f"body{k}" for k in range(90))
+    text = f"<nav>menu</nav><{inner}><h1>A headline of words</h1><p>{body}</p></{inner}>"
+    boxes = f'<div class="cookie-banner">we use cookies</div><div id="comments"><article><p>{"me first " * 200}</p></article></div>'
+    want = f"A headline of words\n{body}"
+    assert maintext.main_text(f"<body><div {wrapper}>{text}{boxes}</div></body>") == want
+    assert maintext.main_text(f"<body><div {wrapper}>{text}</div>{boxes}</body>") == want
+
+
+def test_class_names_match_as_a_whole():
+    body = " ".join(f"body{k}" for k in range(90))
+    for name in ("has-sidebar", "category-legal", "tags-travel", "no-comments"):
+        assert maintext.main_text(f'<p>{body}</p><div class="{name}"><p>a part of the story</p></div><p>{body}</p>') == f"{body}\na part of the story\n{body}"
+    for name in ("sidebar", "ad-box", "site-footer", "ad_300", "x related-posts"):
+        assert maintext.main_text(f'<p>{body}</p><div class="{name}"><p>not a part</p></div><p>{body}</p>') == f"{body}\n{body}"
+
+
 def article(page):
     inside = re.search(r"<article>(.*)</article>", page, re.S)[1]
     blocks = [" ".join(html.unescape(re.sub("<[^>]*>", " ", b)).split()) for b in re.split(r"</?(?:p|h1)>", inside)]
