@@ -11,6 +11,8 @@ from lumenspan.llm import decontam, langid, lines, pieces, shared, simhash
 
 #: Least score of a predicted language; words of a shingle and bits that near copies may differ in.
 LEAST_SCORE, SHINGLE_WORDS, MOST_BITS = 0.5, 5, 4
+#: Bits that near copies may differ in if so large a share of their shingles is the same.
+WIDE_BITS, LEAST_SIMILAR = 7, 0.8
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    return simhash.keep_one(docs, words=SHINGLE_WORDS, max_diff=MOST_BITS)
+    return simhash.keep_one(docs, words=SHINGLE_WORDS, max_diff=MOST_BITS, wide_diff=WIDE_BITS, least=LEAST_SIMILAR)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

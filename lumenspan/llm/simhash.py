@@ -8,6 +8,9 @@ of triples of which every set of four positions contains one (20 triples). Withi
 shared positional bytes of each pair are tallied, pairs below the guaranteed minimum are dropped,
 and the rest is verified by their differing bits.
 
+A distance of 7 guarantees only one byte, whose lists would be too long; there the fingerprint is
+cut into nine blocks, of which two agree, and lists are kept for each pair of blocks.
+
 Only distinct fingerprints enter the index. Lists over ``LIST_ROWS`` are split into cells of two
 blocks each, and a task gives back the spanning edges of what it has linked, never all pairs.
 """
@@ -31,6 +34,8 @@ LIST_ROWS = 65_536
 CHUNK_BYTES = 4 << 20
 #: Cells of a distance table that are held at once.
 TABLE_CELLS = 1 << 20
+#: Fingerprints of one group that a task verifies by their shingles at most; larger groups are dealt in cells.
+GROUP_ROWS = 2_048
 _LOW7, _HIGH = np.uint64(0x7F7F7F7F7F7F7F7F), np.uint64(0x8080808080808080)
 
 
@@ -40,21 +45,39 @@ def fingerprint(text: bytes | None, words: int = 4) -> int:
     A text of fewer words is one shingle. Long texts are taken in chunks that overlap by
     ``words - 1`` words, so memory does not grow with the text.
     """
-    counts, total, kept, began = np.zeros(64, np.int64), 0, [], False
+    counts, total = np.zeros(64, np.int64), 0
+    for digests in _digests(text, words):
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)
+        counts += bits.sum(0, dtype=np.int64)
+        total += len(bits)
+    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+
+
+def shingles(text: bytes | None, words: int = 4) -> np.ndarray:
+    """The distinct hashes of the shingles that ``fingerprint`` counts, in order."""
+    parts = [np.unique(np.frombuffer(d, np.uint64)) for d in _digests(text, words)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted sets; 0 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _digests(text: bytes | None, words: int) -> Iterator[bytes]:
+    """Hashes of all shingles, 8 bytes each, by chunks of the text."""
+    kept, began = [], False
     for chunk in _chunks(text or b""):
         run = kept + chunk
         if len(run) < words:
             kept = run
             continue
         began = True
-        bits = _bits(run, words)
-        counts += bits.sum(0, dtype=np.int64)
-        total += len(bits)
+        yield _hashes(run, words)
         kept = run[len(run) - words + 1 :]
     if not began and kept:
-        bits = _bits(kept, len(kept))
-        counts, total = bits.sum(0, dtype=np.int64), 1
-    return int.from_bytes(np.packbits(2 * counts > total).tobytes(), "big")
+        yield _hashes(kept, len(kept))
 
 
 def _chunks(text: bytes) -> Iterator[list[bytes]]:
@@ -74,14 +97,13 @@ def _chunks(text: bytes) -> Iterator[list[bytes]]:
         yield [rest]
 
 
-def _bits(words: list[bytes], k: int) -> np.ndarray:
+def _hashes(words: list[bytes], k: int) -> bytes:
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths) + np.arange(len(words))
     begins = (ends - lengths)[: len(words) - k + 1].tolist()
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(joined[a:b], 42) for a, b in zip(begins, ends[k - 1 :].tolist(), strict=True)])
-    return np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
+    return b"".join([digest(joined[a:b], 42) for a, b in zip(begins, ends[k - 1 :].tolist(), strict=True)])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 4) -> DataFrame:
@@ -107,13 +129,20 @@ def triples(positions: int = 8) -> list[tuple[int, ...]]:
 
 
 def families(max_diff: int) -> list[tuple[int, ...]]:
-    """Sets of byte positions; two fingerprints within ``max_diff`` bits agree on one of them."""
+    """Sets of places in ``blocks``; two fingerprints within ``max_diff`` bits agree on one of them."""
     sure = 8 - max_diff
     if not 1 <= sure <= 8:
         raise ValueError("max_diff must be from 0 to 7")
+    if sure == 1:
+        return list(combinations(range(9), 2))
     return triples() if sure >= 4 else list(combinations(range(8), sure))
 
 
+def blocks(max_diff: int) -> list[tuple[int, int]]:
+    """(lowest bit, bits) of each block: the eight bytes, or nine blocks where a byte is all that is sure."""
+    return [(7 * i, 7) for i in range(8)] + [(56, 8)] if max_diff == 7 else [(56 - 8 * i, 8) for i in range(8)]
+
+
 def tally(x: np.ndarray) -> np.ndarray:
     """Of exclusive-ors of fingerprints: in how many bytes the two agree."""
     return 8 - np.bitwise_count((((x & _LOW7) + _LOW7) | x) & _HIGH)
@@ -181,25 +210,17 @@ class _Forest:
 def links(fps: DataFrame, max_diff: int = 4, list_rows: int = LIST_ROWS) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly what is linked among the distinct ``fp`` of ``fps``."""
     sets = families(max_diff)
-    byte = lambda i: F.shiftrightunsigned("fp", 56 - 8 * i).bitwiseAND(F.lit(255))
+    cuts = blocks(max_diff)
+    block = lambda i: F.shiftrightunsigned("fp", cuts[i][0]).bitwiseAND(F.lit((1 << cuts[i][1]) - 1))
 
     def key(n: int, places: tuple[int, ...]):
         packed = F.lit(n).cast("long")
         for i in places:
-            packed = F.shiftleft(packed, 8).bitwiseOR(byte(i))
+            packed = F.shiftleft(packed, 8).bitwiseOR(block(i))
         return packed
 
     index = fps.select("fp", F.explode(F.array(*[key(n, p) for n, p in enumerate(sets)])).alias("key"))
-    long = index.groupBy("key").count().where(F.col("count") > list_rows)
-    blocks = F.ceil(F.col("count") / F.lit(list_rows // 2)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    cells = F.transform(
-        F.sequence(F.lit(0), blocks - 1),
-        lambda j: F.shiftleft(F.least(own, j).cast("long"), 31).bitwiseOR(F.greatest(own, j).cast("long")),
-    )
-    dealt = index.join(long, "key", "left").select(
-        "key", "fp", F.explode(F.when(F.col("count").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(cells)).alias("cell")
-    )
+    dealt = _dealt(index, list_rows).select("key", "fp", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, rest = _Forest(), np.zeros((0, 3), np.int64)
@@ -221,6 +242,69 @@ def links(fps: DataFrame, max_diff: int = 4, list_rows: int = LIST_ROWS) -> Data
     return shared.arrow(sorted_lists, run, "a long, b long")
 
 
+def _dealt(index: DataFrame, most: int) -> DataFrame:
+    """``index`` with a ``cell``: -1, or each cell of two blocks that a row of a list over ``most`` rows is in."""
+    long = index.groupBy("key").count().where(F.col("count") > most)
+    parts = F.ceil(F.col("count") / F.lit(most // 2)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), parts).cast("int")
+    cells = F.transform(
+        F.sequence(F.lit(0), parts - 1),
+        lambda j: F.shiftleft(F.least(own, j).cast("long"), 31).bitwiseOR(F.greatest(own, j).cast("long")),
+    )
+    cell = F.explode(F.when(F.col("count").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(cells)).alias("cell")
+    return index.join(long, "key", "left").select(*index.columns, cell)
+
+
+def _verified(rooted: DataFrame, rows: DataFrame, words: int, wide_diff: int, least: float, list_rows: int, group_rows: int) -> DataFrame:
+    """Edges ``(a, b)`` between roots of ``(fp, first, root)`` rows some of whose members are alike.
+
+    Alike are fingerprints within ``wide_diff`` bits whose texts have shingles of a Jaccard similarity
+    of ``least`` or more. The text of a fingerprint is that of its ``first`` among ``(id, key, text)``
+    rows; texts are read only of fingerprints that the wider distance links to another root.
+    """
+    wide = components(links(rooted.select("fp"), wide_diff, list_rows)).toDF("fp", "key")
+    grouped = rooted.join(wide, "fp")
+    mixed = grouped.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    named = grouped.join(mixed, "key", "left_semi").select(F.col("key").alias("group"), "fp", "root", F.col("first.id").alias("first"), F.col("first.key").alias("first_key"))
+    suspects = shared.cut(named, "suspects")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words).tobytes() for t in batch.column(3).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sets, pa.binary())], ["key", "fp", "root", "shingles"])
+
+    theirs = rows.join(suspects, F.col("id").eqNullSafe(F.col("first")) & (F.col("key") == F.col("first_key")))
+    sets = shared.arrow(theirs.select(F.col("group").alias("key"), "fp", "root", F.col("text").cast("string")), hashed, "key long, fp long, root long, shingles binary")
+    rows = _dealt(shared.cut(sets, "shingles"), group_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, now, group = _Forest(), None, []
+        for batch in batches:
+            for key, cell, fp, root, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, cell) != now:
+                    _alike(group, wide_diff, least, forest)
+                    now, group = (key, cell), []
+                group.append((fp, root, np.frombuffer(own, np.uint64)))
+        _alike(group, wide_diff, least, forest)
+        yield forest.edges()
+
+    ordered = rows.select("key", "cell", "fp", "root", "shingles").repartition("key", "cell").sortWithinPartitions("key", "cell")
+    return shared.arrow(ordered, run, "a long, b long")
+
+
+def _alike(group: list[tuple[int, int, np.ndarray]], wide_diff: int, least: float, forest: _Forest) -> None:
+    """Link the roots of a group by their members; members of roots already linked aren't compared."""
+    f = np.array([x[0] for x in group], np.int64).view(np.uint64)
+    unsigned = np.array([x[1] for x in group], np.int64).view(np.uint64)
+    label = unsigned.copy()
+    for i in range(len(group)):
+        near = i + 1 + np.flatnonzero((np.bitwise_count(f[i + 1 :] ^ f[i]) <= wide_diff) & (label[i + 1 :] != label[i]))
+        for j in near.tolist():
+            if label[i] != label[j] and jaccard(group[i][2], group[j][2]) >= least:
+                forest.add(unsigned[i : i + 1], unsigned[j : j + 1])
+                label[label == label[j]] = label[i]
+
+
 def _lists(rows: np.ndarray, max_diff: int, forest: _Forest) -> None:
     if len(rows) < 2:
         return
@@ -267,20 +351,34 @@ def _named(table: DataFrame, max_diff: int, list_rows: int) -> DataFrame:
 
 
 def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, max_diff: int = 4, list_rows: int = LIST_ROWS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    max_diff: int = 4,
+    list_rows: int = LIST_ROWS,
+    wide_diff: int | None = None,
+    least: float = 0.8,
+    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, that stay if one of each group of near-duplicates does.
 
     Groups are those of ``near_duplicates``; the row with the smallest id stays (null ids come
     last, of equal ids the least hash of the whole row), and one of rows that are equal in all.
+    With ``wide_diff``, fingerprints up to so many bits apart link as well if the Jaccard
+    similarity of the texts' shingles is ``least`` or more.
     """
     key, near = shared.fresh(docs.columns, "row_key"), shared.fresh(docs.columns, "row_id")
     keyed = docs.withColumn(key, F.xxhash64(*[F.to_json(F.struct(F.col(c).alias("c"))) if _nested(docs, c) else F.col(c) for c in docs.columns]))
     rows = keyed.select(F.col(id_col).alias("id"), F.col(key).alias("key"), F.col(text_col).alias("text"))
     table = shared.cut(fingerprints(rows, "text", words), "fingerprints")
-    least = table.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
-    found = components(links(least.select("fp"), max_diff, list_rows))
-    rooted = least.join(found, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    firsts = table.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "key")).alias("first"))
+    found = components(links(firsts.select("fp"), max_diff, list_rows))
+    rooted = firsts.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    if wide_diff:
+        rooted = shared.cut(rooted, "roots")
+        more = components(_verified(rooted, rows, words, wide_diff, least, list_rows, group_rows)).toDF("node", "top")
+        rooted = rooted.join(more, F.col("root") == F.col("node"), "left").select("first", F.coalesce("top", "root").alias("root"))
     first = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.key")
     times = table.groupBy("id", "key").agg(F.count("*").alias("times"))
     kept = first.join(times, first["id"].eqNullSafe(times["id"]) & (first["key"] == times["key"])).select(

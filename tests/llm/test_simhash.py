@@ -112,3 +112,38 @@ def test_keep_one(spark):
     want = [(2, long), (4, None), (9, other), (None, "lone text here"), (7, "lone two"), (7, "lone three")]
     assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(want, key=str)
     assert simhash.keep_one(docs.limit(0)).collect() == []
+
+
+def test_keep_one_verifies_wider_links(spark):
+    rng = np.random.default_rng(3)
+    data, n = [], 0
+    for base in range(12):
+        words = [f"b{base}w{k}" for k in range(int(rng.integers(60, 200)))]
+        for _ in range(14):
+            changed = list(words)
+            for at in rng.choice(len(words), int(rng.integers(0, 7)), replace=False):
+                changed[at] = f"new{n}x{at}"
+            data.append((n, " ".join(changed)))
+            n += 1
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    prints = [brute_fingerprint(t, 5) for _, t in data]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in data]
+    up = list(range(n))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    wider = unlike = 0
+    for i, j in combinations(range(n), 2):
+        bits = (prints[i] ^ prints[j]).bit_count()
+        like = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8
+        wider, unlike = wider + (4 < bits <= 7 and like), unlike + (4 < bits <= 7 and not like)
+        if bits <= 4 or (bits <= 7 and like):
+            up[max(root(i), root(j))] = min(root(i), root(j))
+    want = sorted(i for i in range(n) if root(i) == i)
+    assert wider and unlike
+    for group_rows in (simhash.GROUP_ROWS, 6):
+        assert sorted(r.doc_id for r in simhash.keep_one(docs, wide_diff=7, group_rows=group_rows).collect()) == want
+    assert len(want) < simhash.keep_one(docs).count()
