@@ -196,6 +196,7 @@ def near_duplicates(
     sample_rows: int = SAMPLE_ROWS,
     list_rows: int = LIST_ROWS,
     cell_rows: int = CELL_ROWS,
+    all_widths: bool = False,
 ) -> DataFrame:
     """One row for each row: ``id_col``, ``n_links`` (other rows linked directly), ``component_id``
     (the smallest id that links lead to, the row's own included) and ``kept`` (it names its component).
@@ -204,19 +205,26 @@ def near_duplicates(
     and codebooks are fitted on at most ``2 * sample_rows`` vectors; all are indexed and all ask.
 
     Vectors that are null, empty or zero, or that hold null or non-finite components, link with
-    nothing; so do vectors of another width than most have. A row with a null id keeps its row and
+    nothing; so do vectors of another width than most have, unless ``all_widths`` gives each width
+    an index of its own. A row with a null id keeps its row and
     counts as a link, but never names a component and is never kept. Repeated rows link with each
     other. An empty table gives no rows. Other columns aren't read.
     """
     spark = rows.sparkSession
     table = shared.cut(vectors(rows, id_col, vector_col), "vectors")
-    widths = table.where("vec is not null").groupBy(F.length("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths.w if widths else 0
-    good = table.where(F.length("vec") == width) if width else table.limit(0)
+    widths = table.where("vec is not null").groupBy(F.length("vec").alias("w")).count().orderBy(F.desc("count"), "w")
+    widths = [r.w for r in (widths if all_widths else widths.limit(1)).collect()]
+    good = table.where(F.length("vec").isin(widths)) if widths else table.limit(0)
     distinct = good.groupBy("vec").agg(F.min("id").alias("least_id"), F.count("*").alias("copies"))
     distinct = shared.cut(distinct.withColumn("vid", F.monotonically_increasing_id()), "distinct-vectors")
-    n = distinct.count()
-    links = _links(distinct, n, width // 8, threshold, probes, margin, sample_rows, list_rows, cell_rows) if n else None
+    numbers = {r.w: r["count"] for r in distinct.groupBy(F.length("vec").alias("w")).count().collect()}
+    links = None
+    for i, width in enumerate(widths):
+        if i and numbers[width] < 2:
+            continue
+        own = distinct.where(F.length("vec") == width)
+        new = _links(own, numbers[width], width // 8, threshold, probes, margin, sample_rows, list_rows, cell_rows)
+        links = links.union(new) if links else new
     if links is None:
         return table.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
     found = components(links.where("b is not null"))

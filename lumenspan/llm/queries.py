@@ -29,7 +29,7 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pq(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors."""
-    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
+    return pq.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95, all_widths=True)
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from lumenspan.llm import pq
+from lumenspan.llm import pq, queries
 
 
 def brute(rows, threshold=0.95):
@@ -77,3 +77,18 @@ def test_lookup_distance_is_within_the_stored_error():
         real = np.linalg.norm(x[:50, None] - x[own][None], axis=2)
         assert (np.abs(near - real) <= error[own] + 1e-3).all()
     assert all(a[0] == h for a, h in zip(asked, home, strict=True))
+
+
+def test_every_width_has_links(spark, tmp_path):
+    rows = [(i, v) for i, v in made() if i not in (2003, 2009)]
+    rows += [(3000 + i, [1.0, 2.0, 3.0 + i % 2 * 0.01]) for i in range(6)] + [(3100, [1.0] * 5), (3101, [1.0] * 5), (3102, [-1.0] * 9), (3103, [4.0] * 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = sorted(map(tuple, queries.QUERIES["op3_pq"](spark, str(tmp_path)).collect()), key=key)
+    x = [np.array(v, float) if v and None not in v and np.any(v) else None for _, v in rows]
+    x = [None if v is None else v / np.linalg.norm(v) for v in x]
+    like = lambda a, b: a is not None and b is not None and len(a) == len(b) and a @ b >= 0.95 - 1e-12
+    links = [sum(i != j and like(x[i], x[j]) for j in range(len(x))) for i in range(len(x))]
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted((str(r[0]), n) for r, n in zip(rows, links, strict=True))
+    found = {r[0]: r[1:] for r in got}
+    assert found[2005] == (1, 2005, True) and found[2006] == (1, 2005, False)
+    assert found[3005] == (5, 3000, False) and found[3101] == (1, 3100, False) and found[3103] == (0, 3103, True)
