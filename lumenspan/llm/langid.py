@@ -143,16 +143,25 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on rows that aren't held out and have a text and a language.
 
     The texts of a language that are drawn are the first by a hash of id and text, so the same rows
-    give the same model in any partitioning.
+    give the same model in any partitioning. Texts over ``FIT_CHARS`` characters are drawn only for
+    a language that has no shorter one, and learned from their first ``FIT_CHARS``.
     """
     key, text = F.col(id_col), F.col(text_col).cast("string")
-    open_rows = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & text.isNotNull() & (F.char_length(text) <= FIT_CHARS))
-    rows = open_rows.select(F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(key.cast("string"), text).alias("draw"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    open_rows = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & text.isNotNull())
+    labelled = open_rows.select(
+        F.col(lang_col).cast("string").alias("lang"),
+        F.left(text, F.lit(FIT_CHARS)).alias("text"),
+        F.xxhash64(key.cast("string"), text).alias("draw"),
+        (F.char_length(text) > FIT_CHARS).alias("long"),
+    )
+    found = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.count_if(~F.col("long")).alias("short"))
+    counts = found.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    only_long = [r.lang for r in counts if not r.short]
+    rows = labelled.where(~F.col("long") | F.col("lang").isin(only_long)).drop("long")
     each = max(1, min(per_language, FIT_ROWS // max(1, len(counts))))
     # Draws are even over all 64-bit numbers: below these bounds lie some four times as many as are
     # needed, whatever a language's share, so no language is a hot group of the ranking.
-    bounds = [F.lit(x) for r in counts for x in (r.lang, min(2**63 - 1, -(2**63) + (2**64) * (4 * each + 40) // r["count"]))]
+    bounds = [F.lit(x) for r in counts for x in (r.lang, min(2**63 - 1, -(2**63) + (2**64) * (4 * each + 40) // (r.short or r["count"])))]
     low = rows.select("lang", "draw").where(F.col("draw") <= F.try_element_at(F.create_map(*bounds), F.col("lang"))) if counts else rows.select("lang", "draw")
     first = Window.partitionBy("lang").orderBy("draw")
     ranked = low.withColumn("n", F.row_number().over(first))

@@ -76,3 +76,13 @@ def test_draws_are_the_first_by_hash(spark):
     first = [sorted((r.draw, r.text) for r in drawn if r.lang == name)[:60] for name in ("de", "en")]
     want = langid.Model([t for f in first for _, t in f], ["de"] * 60 + ["en"] * 60)
     assert (model.spectrum.n_grams == want.spectrum.n_grams).all() and np.allclose(model.weights, want.weights)
+
+
+def test_language_with_long_texts_only(spark):
+    rows = [(i, w * 20, lang) for i, (w, lang) in enumerate([("the and of with ", "en"), ("der und die mit ", "de")] * 30)]
+    rows += [(100 + i, "och att det som ".ljust(16) * 2_000, "sv") for i in range(12)] + [(200, "the and of with " * 9_000, "en"), (201, "och det att som " * 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.languages == ["de", "en", "sv"]
+    pred = {r.doc_id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    assert pred[201] == "sv" and all(pred[i] == lang for i, _, lang in rows[:-1])
