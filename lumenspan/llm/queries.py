@@ -21,10 +21,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the boilerplate lines of its source."""
-    docs = _table(spark, sf_dir, "documents")
-    feeds = lambda c: F.char_length(c) - F.char_length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
-    out = lines.drop_boilerplate(docs.select("doc_id", "source", "text", "n_chars", F.col("text").alias("old")), length_col="n_chars")
-    return out.select("doc_id", "source", "text", "n_chars", (feeds("old") - feeds("text")).cast("long").alias("n_dropped"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text", "n_chars")
+    out = lines.drop_boilerplate(docs, length_col="n_chars", dropped_col="n_dropped")
+    return out.withColumn("n_chars", F.col("n_chars").cast("long"))
 
 
 def op3_pq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,18 +6,17 @@ from tests.llm.test_simhash import brute_components, brute_fingerprint
 
 
 def brute(rows):
-    pages = defaultdict(set)
+    pages = defaultdict(list)
     for _, text, host in rows:
         if text is not None:
-            pages[host].add(text)
+            pages[host].append(text)
     drop = {}
     for host, texts in pages.items():
         n = Counter(x for t in texts for x in set(t.split("\n")) if x.strip(" "))
         drop[host] = {x for x, k in n.items() if k >= 3 and k > 0.05 * len(texts)}
     out = []
     for i, text, host in rows:
-        kept = None if text is None else "\n".join(x for x in text.split("\n") if x not in drop[host])
-        out.append((i, text if text is None or 2 * len(kept) < len(text) else kept, host))
+        out.append((i, None if text is None else "\n".join(x for x in text.split("\n") if x not in drop[host]), host))
     return sorted(out, key=str)
 
 
@@ -32,7 +31,12 @@ def test_drop_boilerplate(spark, tmp_path):
     table = got.collect()
     assert sorted(((r.doc_id, r.text, r.source) for r in table), key=str) == brute(rows)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in table)
-    assert {r.doc_id: r.text for r in table}[3].startswith("story")
+    texts = {r.doc_id: r.text for r in table}
+    assert texts[3].startswith("story")
+    assert texts[300] == texts[402] == ""  # copies are pages, and no text is spared
+    salted = lines.drop_boilerplate(docs, length_col="n_chars", hot_pages=7, broadcast_lines=0, dropped_col="n_dropped").collect()
+    assert sorted(((r.doc_id, r.text, r.source) for r in salted), key=str) == brute(rows)
+    assert {r.doc_id: r.n_dropped for r in salted}[300] == 3
     assert lines.drop_boilerplate(docs.limit(0)).collect() == []
     docs.drop("host", "lines").write.parquet(f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
