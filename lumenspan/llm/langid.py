@@ -1,19 +1,20 @@
 """Language identification with string kernels.
 
 The kernel of two texts is the number of distinct character n-grams, of one to three characters,
-that both have (a blended spectrum of presence), over the n-grams of the landmarks, scaled by the
-norms of both. Landmark texts give a Nystroem map of it, and one ridge regression a language is
-solved in that space, each against the rest. Texts are scored in batches: presence matrix times
-landmark matrix gives the kernels, kernels times coefficients the scores.
-
-Fitting takes a bounded sample of labelled rows: ``FIT_ROWS`` texts of at most ``FIT_CHARS`` characters,
-at most ``PER_LANGUAGE`` of each language, the first ones by a hash; the ``LANGUAGES`` most frequent
-languages are learned. Scoring takes whole texts.
+that both have (a blended spectrum of presence), scaled by the norms of both, which count all
+n-grams of a text. Characters are letters as they are, lower-cased; what is no letter is a space.
+Landmark texts give a Nystroem map of the kernel, and one ridge regression a language is solved in
+that space, each against the rest. Texts are scored in batches: presence matrix times landmark
+matrix gives the kernels, kernels times coefficients the scores.
+
+Fitting takes a bounded sample of labelled rows: of each language the first by a hash, so many that
+they are ``FIT_ROWS`` in all (two of each language at least), of at most ``FIT_CHARS`` characters
+each; landmarks, ``ALL_LANDMARKS`` in all (one of each language at least), have ``LANDMARK_CHARS``
+characters together. All languages and all letters are told apart. Scoring takes whole texts.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,73 +26,99 @@ from lumenspan.llm import shared
 
 #: Texts a language that a model is fitted on, landmarks among them, and characters of such a text.
 PER_LANGUAGE, LANDMARKS, FIT_CHARS = 250, 24, 20_000
-#: Languages, texts and landmarks at most in all.
-LANGUAGES, FIT_ROWS, ALL_LANDMARKS = 400, 4_000, 800
-#: Symbols that are told apart; all other letters are one more. N-grams are up to three long.
-SYMBOLS, RIDGE, STEEPNESS = 120, 1e-3, 4.0
-#: Characters of text, and rows, that are scored at once.
-BATCH_CHARS, BATCH_ROWS = 1 << 20, 256
+#: Texts and landmarks in all (or two texts and one landmark of each language), characters of all landmarks.
+FIT_ROWS, ALL_LANDMARKS, LANDMARK_CHARS = 4_000, 800, 1 << 20
+RIDGE, STEEPNESS = 1e-3, 4.0
+#: Characters of text, and rows, that are scored at once; n-grams of one step of a product.
+BATCH_CHARS, BATCH_ROWS, STEP_GRAMS = 1 << 20, 256, 8192
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
+_ALL_LETTERS = regex.compile(r"\p{L}+")
+_SPACE = 32
 
 
-def _letters(points: np.ndarray) -> np.ndarray:
-    return np.array([bool(_LETTER.match(chr(p))) if not 0xD800 <= p < 0xE000 else False for p in points.tolist()], bool)
+class _Letters:
+    """Which code points are letters; made once a process."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, points: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            table = np.zeros(0x110000, bool)
+            every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+            for m in _ALL_LETTERS.finditer(every):
+                a, b = (p if p < 0xD800 else p + 0x800 for p in (m.start(), m.end() - 1))
+                table[a : b + 1] = True
+            table[0xD800:0xE000] = False
+            cls.table = table
+        return cls.table[points]
+
+
+def n_grams(text: str) -> tuple[np.ndarray, bool]:
+    """The distinct n-grams of a text, in order, as numbers; whether it has a letter.
+
+    Three code points of 21 bits fill a number; shorter n-grams leave the upper ones zero.
+    """
+    found, lettered, before = [], False, np.array([_SPACE], np.int64)
+    for at in range(0, len(text), BATCH_CHARS):
+        last = at + BATCH_CHARS >= len(text)
+        points = np.frombuffer(text[at : at + BATCH_CHARS].lower().encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+        letter = _Letters.of(points)
+        lettered = lettered or bool(letter.any())
+        run = np.concatenate([before, np.where(letter, points, _SPACE), np.full(int(last), _SPACE)])
+        space = run == _SPACE
+        run = run[~(space & np.concatenate([[False], space[:-1]]))]
+        two = (run[:-1] << 21) | run[1:]
+        three = (two[:-1] << 21) | run[2:]
+        found.append(np.unique(np.concatenate([run, two, three])))
+        before = run[-2:]
+    if not found:
+        return np.zeros(0, np.int64), False
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found)), lettered
 
 
 class Spectrum:
-    """Texts as presence vectors over the n-grams of some landmark texts."""
+    """The n-grams of some landmark texts, with the landmarks that have each: a sparse matrix by rows."""
 
     def __init__(self, landmarks: list[str]) -> None:
-        seen = Counter(c for t in landmarks for c in t.lower() if _LETTER.match(c))
-        self.symbols = {ord(c): n + 1 for n, (c, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:SYMBOLS])}
-        self.base = SYMBOLS + 2
-        codes = [self.codes(t)[0] for t in landmarks]
-        self.n_grams = np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]))
-        self.n_grams = self.n_grams[self.n_grams >= 0]
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("_class", "_place")}
-
-    def _tables(self) -> None:
-        points = np.arange(0x10000)
-        self._class = np.where(_letters(points), self.base - 1, 0).astype(np.int32)
-        for point, n in self.symbols.items():
-            if point < 0x10000:
-                self._class[point] = n
-
-    def codes(self, text: str) -> tuple[np.ndarray, bool]:
-        """The codes of all n-grams of a text; whether it has a letter. What is no letter is a space."""
-        if not hasattr(self, "_class"):
-            self._tables()
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        if not len(points):
-            return np.zeros(0, np.int64), False
-        kinds = self._class[np.minimum(points, 0xFFFF)]
-        if points.max() > 0xFFFF:
-            for point in np.unique(points[points > 0xFFFF]):
-                kinds[points == point] = self.symbols.get(int(point), self.base - 1 if _letters(np.array([point]))[0] else 0)
-        lettered = bool(kinds.any())
-        space = kinds == 0
-        kinds = np.concatenate([[0], kinds[~(space & np.concatenate([[True], space[:-1]]))], [0]]).astype(np.int64)
-        if len(kinds) > 2 and kinds[-2] == 0:
-            kinds = kinds[:-1]
-        b = self.base
-        two = kinds[:-1] * b + kinds[1:]
-        three = two[:-1] * b + kinds[2:]
-        return np.concatenate([kinds, b + two, b + b * b + three]), lettered
-
-    def present(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """One row of zeros and ones for each text; whether each has a letter."""
-        if not hasattr(self, "_place"):
-            self._place = np.full(self.base + self.base**2 + self.base**3, len(self.n_grams), np.int32)
-            self._place[self.n_grams] = np.arange(len(self.n_grams))
-        out = np.zeros((len(texts), len(self.n_grams) + 1), np.float32)
-        lettered = np.zeros(len(texts), bool)
+        own = [n_grams(t)[0] for t in landmarks]
+        self.rows = len(own)
+        self.norms = np.sqrt(np.array([max(1, len(g)) for g in own], np.float64))
+        grams = np.concatenate(own or [np.zeros(0, np.int64)])
+        self.n_grams, at = np.unique(grams, return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        self.landmark = np.repeat(np.arange(self.rows, dtype=np.int32), [len(g) for g in own])[order]
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(self.n_grams)))]).astype(np.int64)
+
+    def _places(self, grams: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.n_grams, grams)
+        return at[self.n_grams[np.minimum(at, len(self.n_grams) - 1)] == grams] if len(self.n_grams) else at[:0]
+
+    def kernels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Kernels of texts (rows) and landmarks (columns); whether each text has a letter."""
+        norms, lettered, held = np.ones(len(texts)), np.zeros(len(texts), bool), []
         for i, t in enumerate(texts):
-            codes, lettered[i] = self.codes(t)
-            out[i, self._place[codes]] = 1
-        return out[:, :-1], lettered
+            grams, lettered[i] = n_grams(t)
+            norms[i] = max(1, len(grams)) ** 0.5
+            held.append(self._places(grams))
+        out = np.zeros((len(texts), self.rows), np.float32)
+        row = np.repeat(np.arange(len(texts)), [len(h) for h in held])
+        place = np.concatenate(held or [np.zeros(0, np.int64)])
+        used, column = np.unique(place, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for low in range(0, len(used), STEP_GRAMS):
+            part = used[low : low + STEP_GRAMS]
+            count = self.begin[part + 1] - self.begin[part]
+            within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+            ours = np.zeros((self.rows, len(part)), np.float32)
+            ours[self.landmark[np.repeat(self.begin[part], count) + within], np.repeat(np.arange(len(part)), count)] = 1
+            a, b = np.searchsorted(column, [low, low + len(part)])
+            theirs = np.zeros((len(texts), len(part)), np.float32)
+            theirs[row[a:b], column[a:b] - low] = 1
+            out += theirs @ ours.T
+        return out / norms[:, None] / self.norms, lettered
 
 
 class Model:
@@ -100,13 +127,18 @@ class Model:
     def __init__(self, texts: list[str], languages: list[str], landmarks: int = LANDMARKS) -> None:
         self.languages = sorted(set(languages))
         landmarks = max(1, min(landmarks, ALL_LANDMARKS // max(1, len(self.languages))))
-        chosen = [i for name in self.languages for i in [k for k, x in enumerate(languages) if x == name][:landmarks]]
-        self.spectrum = Spectrum([texts[i] for i in chosen])
-        self.landmarks = self._unit(self.spectrum.present([texts[i] for i in chosen])[0])
-        values, vectors = np.linalg.eigh(self.landmarks.astype(np.float64) @ self.landmarks.T.astype(np.float64) if chosen else np.zeros((0, 0)))
+        by_language: dict[str, list[int]] = {}
+        for i, name in enumerate(languages):
+            by_language.setdefault(name, []).append(i)
+        chosen = [i for name in self.languages for i in by_language[name][:landmarks]]
+        chars = max(1, LANDMARK_CHARS // max(1, len(chosen)))
+        marks = [texts[i][:chars] for i in chosen]
+        self.spectrum = Spectrum(marks)
+        batched = lambda x: np.concatenate([self.kernels(x[i : i + BATCH_ROWS])[0] for i in range(0, len(x), BATCH_ROWS)] or [np.zeros((0, 0))])
+        values, vectors = np.linalg.eigh(batched(marks))
         good = values > 1e-6
         whiten = vectors[:, good] / np.sqrt(values[good])
-        features = np.concatenate([self.kernels(texts[i : i + BATCH_ROWS])[0] for i in range(0, len(texts), BATCH_ROWS)] or [np.zeros((0, 0))]) @ whiten
+        features = batched(texts) @ whiten if texts else np.zeros((0, 0))
         features = np.concatenate([features, np.ones((len(features), 1))], 1)
         target = np.where(np.array(languages)[:, None] == np.array(self.languages), 1.0, -1.0) if texts else np.zeros((0, 0))
         ridge = RIDGE * max(1, len(texts)) * np.eye(features.shape[1])
@@ -114,13 +146,9 @@ class Model:
         solved = np.linalg.lstsq(features.T @ features + ridge, features.T @ target, rcond=None)[0] if texts else np.zeros((1, 0))
         self.weights, self.offset = whiten @ solved[:-1], solved[-1]
 
-    @staticmethod
-    def _unit(x: np.ndarray) -> np.ndarray:
-        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-
     def kernels(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        present, lettered = self.spectrum.present(texts)
-        return (self._unit(present) @ self.landmarks.T).astype(np.float64), lettered
+        kernels, lettered = self.spectrum.kernels(texts)
+        return kernels.astype(np.float64), lettered
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and score of each text; "und" and zero without a letter, or if none was learned."""
@@ -143,8 +171,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on rows that aren't held out and have a text and a language.
 
     The texts of a language that are drawn are the first by a hash of id and text, so the same rows
-    give the same model in any partitioning. Texts over ``FIT_CHARS`` characters are drawn only for
-    a language that has no shorter one, and learned from their first ``FIT_CHARS``.
+    give the same model in any partitioning; repeated rows are drawn once. Texts over ``FIT_CHARS``
+    characters are drawn only for a language that has no shorter one, and learned from their first
+    ``FIT_CHARS``. Every language is learned. Null ids count as the empty text. Without a labelled
+    row the model knows no language and tells "und" for all texts. Other columns aren't read.
     """
     key, text = F.col(id_col), F.col(text_col).cast("string")
     open_rows = docs.where(~held_out(key) & F.col(lang_col).isNotNull() & text.isNotNull())
@@ -155,10 +185,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         (F.char_length(text) > FIT_CHARS).alias("long"),
     )
     found = labelled.groupBy("lang").agg(F.count("*").alias("count"), F.count_if(~F.col("long")).alias("short"))
-    counts = found.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = found.orderBy("lang").collect()  # one row a language
     only_long = [r.lang for r in counts if not r.short]
     rows = labelled.where(~F.col("long") | F.col("lang").isin(only_long)).drop("long")
-    each = max(1, min(per_language, FIT_ROWS // max(1, len(counts))))
+    each = max(2, min(per_language, FIT_ROWS // max(1, len(counts))))
     # Draws are even over all 64-bit numbers: below these bounds lie some four times as many as are
     # needed, whatever a language's share, so no language is a hot group of the ranking.
     bounds = [F.lit(x) for r in counts for x in (r.lang, min(2**63 - 1, -(2**63) + (2**64) * (4 * each + 40) // (r.short or r["count"])))]
@@ -203,9 +233,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
     """The rows of ``docs``, all columns, whose language is told with a score of ``least`` or more.
 
-    A null ``lang_col`` becomes the predicted language.
+    A null ``lang_col`` becomes the predicted language. Null and empty texts, and texts without a
+    letter, go. Very long texts are scored whole. Repeated rows share their fate; other columns,
+    null or not, are kept as they are; an empty table gives no rows.
     """
-    text, lang = docs.columns.index(text_col), docs.columns.index(lang_col)
+    text, lang = shared.place(docs, text_col), shared.place(docs, lang_col)
 
     def tell(batch: pa.RecordBatch, languages: list[str], scores: np.ndarray) -> pa.RecordBatch:
         known = batch.column(lang).to_pylist()

@@ -76,6 +76,11 @@ def fresh(taken: list[str], name: str) -> str:
     return name
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where a column stands; case counts as in the session."""
+    return df.columns.index(df.select(name).columns[0]) if name in df.columns else df.columns.index(next(c for c in df.columns if c.lower() == name.lower()))
+
+
 def arrow(df: DataFrame, function, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors, in batches of a few megabytes."""
     ship(df.sparkSession)

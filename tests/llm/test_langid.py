@@ -6,26 +6,74 @@ import pytest
 from lumenspan.llm import langid
 
 
-def grams(text, model):
-    kinds = [" "] + [c for c in text.lower()]
-    folded = "".join(c if langid._LETTER.match(c) else " " for c in kinds)
+def grams(text):
+    folded = "".join(c if langid._LETTER.match(c) else " " for c in text.lower())
     folded = " " + " ".join(folded.split()) + (" " if folded.split() else "")
-    own = ["".join(c if c == " " or ord(c) in model.spectrum.symbols else "?" for c in folded[i : i + n]) for n in (1, 2, 3) for i in range(len(folded) - n + 1)]
-    return set(own)
+    return {folded[i : i + n] for n in (1, 2, 3) for i in range(len(folded) - n + 1)} if text else set()
+
+
+def kernel(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / np.sqrt(max(1, len(a)) * max(1, len(b)))
 
 
 def test_kernels_equal_brute_force():
     texts = ["The cat, the hat!", "Über öl und Öfen", "the the", "", "!!", "ÖL 漢字 𐐀𐐨x"]
     model = langid.Model(texts[:3], ["en", "de", "en"])
     marks = [texts[1], texts[0], texts[2]]  # by language
-    vocabulary = set().union(*(grams(t, model) for t in marks))
     got = model.kernels(texts)[0]
-    for i, t in enumerate(texts):
-        a = grams(t, model) & vocabulary if t else set()
-        for j, m in enumerate(marks):
-            b = grams(m, model)
-            want = len(a & b) / np.sqrt(max(1, len(a)) * len(b))
-            assert abs(got[i, j] - want) < 1e-5
+    assert np.allclose(got, [[kernel(t, m) for m in marks] for t in texts], atol=1e-6)
+
+
+def test_ridge_and_prediction_equal_brute_force():
+    rng = np.random.default_rng(5)
+    words = {"a": "lo mi ra tu".split(), "b": "xe qua dor tu".split(), "c": "zin pla mi ost".split()}
+    names = [n for n in words for _ in range(12)]
+    texts = [" ".join(rng.choice(words[n], 9)) for n in names]
+    model = langid.Model(texts, names, landmarks=5)
+    marks = [t for n in words for t in [x for x, y in zip(texts, names) if y == n][:5]]
+    k = np.array([[kernel(x, y) for y in marks] for x in marks])
+    values, vectors = np.linalg.eigh(k)
+    whiten = vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])
+    map_of = lambda ts: np.array([[kernel(t, m) for m in marks] for t in ts]) @ whiten
+    x = np.c_[map_of(texts), np.ones(len(texts))]
+    y = np.array([[1.0 if n == m else -1.0 for m in words] for n in names])
+    penalty = np.diag([langid.RIDGE * len(texts)] * (x.shape[1] - 1) + [0.0])
+    w = np.linalg.solve(x.T @ x + penalty, x.T @ y)
+    asked = ["lo ra ra", "qua xe tu", "pla ost zin lo", "mi tu", "42"]
+    raw = np.c_[map_of(asked), np.ones(5)] @ w
+    got, score = model.predict(asked)
+    assert got == [list(words)[i] for i in raw[:4].argmax(1)] + ["und"]
+    weight = np.exp(langid.STEEPNESS * (raw - raw.max(1, keepdims=True)))
+    assert np.allclose(score[:4], (weight.max(1) / weight.sum(1))[:4], atol=1e-3) and score[4] == 0
+
+
+def test_all_letters_of_large_scripts_are_told_apart():
+    one, two = (" ".join("".join(chr(0x4E00 + shift + (7 * k * k + 13 * j) % 9000) for j in range(30)) for k in range(60)) for shift in (0, 9000))
+    model = langid.Model([one, two], ["x", "y"])
+    assert {ch for t in (one, two) for ch in t} <= {chr(g) for g in model.spectrum.n_grams.tolist() if g < 0x110000}
+    assert model.predict([one[400:], two[400:]])[0] == ["x", "y"]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = "Straße, 12 Katzen -- und  ein Hund " * 9
+    whole = langid.n_grams(text)[0]
+    for size in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(langid, "BATCH_CHARS", size)
+        assert (langid.n_grams(text)[0] == whole).all()
+    assert len(whole) == len(grams(text))
+
+
+def test_more_than_400_languages(spark):
+    syllables = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"]
+    rng = np.random.default_rng(3)
+    words = [["".join(syllables[k] for k in rng.integers(0, 100, 3)) for _ in range(12)] for _ in range(430)]
+    rows = [(430 * c + n, " ".join(words[n][c:] + words[n][:c]), f"l{n:03d}") for n in range(430) for c in range(6)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learned = {lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(model.languages) == learned and len(learned) > 420
+    pred = model.predict([" ".join(words[n]) for n in range(430)])[0]
+    assert np.mean([p == f"l{n:03d}" for n, p in enumerate(pred)]) > 0.95
 
 
 def test_no_rows_learned():
