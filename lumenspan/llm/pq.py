@@ -2,11 +2,16 @@
 
 Vectors are scaled to length one. k-means on a bounded sample gives coarse centres; every vector
 goes to the list of its nearest centre with codes of its residual in subspaces, and also asks the
-lists it may have partners in: those whose border (the plane between two centres) lies within
-``margin`` of it, up to ``probes``. In a list, table lookups give the distance of each asking
-vector to each quantised one. The distance to the real vector differs from it by at most the error
-that was stored with the codes, so a pair is given up only if that bound rules it out; the cosine
-of the rest is computed in double precision. So only probing can miss a link.
+lists it may have partners in: those whose border (the plane between two centres) is nearest to it,
+up to ``probes``. In a list, table lookups give the distance of each asking vector to each
+quantised one. The distance to the real vector differs from it by at most the error that was stored
+with the codes, so a pair is given up only if that bound rules it out; the cosine of the rest is
+computed in double precision. So only probing can miss a link.
+
+How many lists are enough is known: of two vectors in different cells the distances to the border
+add up to their distance at most, so one of the two lies within *half* the linking distance of the
+border and asks the other's list. Lists beyond that half are never asked. ``probes=None`` asks all
+lists within it and misses nothing, whatever the vectors are like.
 
 Equal vectors are one entry of the index. A list with many rows is dealt in cells of one block of
 entries by one block of askers. Tasks give back counts and spanning edges, not pairs.
@@ -31,6 +36,8 @@ LIST_ROWS, MOST_LISTS = 128, 4096
 #: Entries or askers of a cell, and pairs whose distances are held at once.
 CELL_ROWS, TABLE_CELLS = 8192, 1 << 19
 SUBSPACES, CODES = 8, 256
+#: Lists that a vector asks at most, its own among them.
+PROBES = 16
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -59,11 +66,11 @@ class Quantiser:
 
     centres: np.ndarray
     books: list[np.ndarray]
-    probes: int
+    probes: int | None
     margin: float
 
     @classmethod
-    def fit(cls, sample: np.ndarray, lists: int, probes: int, margin: float) -> Quantiser:
+    def fit(cls, sample: np.ndarray, lists: int, probes: int | None, margin: float) -> Quantiser:
         """From a sample of unit vectors, one row at least."""
         centres = _kmeans(sample, min(lists, len(sample)), 10, 1)
         left = sample - centres[_nearest(sample, centres)]
@@ -71,16 +78,17 @@ class Quantiser:
         return cls(centres, books, probes, margin)
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """Of unit vectors: list, codes, quantisation error, lists to ask (the own one first)."""
+        """Of unit vectors: list, codes, quantisation error, lists to ask (the own one among them)."""
         square = _squares(x, self.centres)
-        order = np.argpartition(square, min(self.probes, square.shape[1]) - 1, axis=1)[:, : self.probes]
-        near = np.take_along_axis(square, order, 1)
-        rank = np.argsort(near, axis=1, kind="stable")
-        order, near = np.take_along_axis(order, rank, 1), np.take_along_axis(near, rank, 1)
-        home = order[:, 0]
-        apart = np.sqrt(np.maximum(((self.centres[order] - self.centres[home][:, None]) ** 2).sum(2), 1e-30))
-        asked = (near - near[:, :1]) / (2 * apart) <= self.margin
-        asked[:, 0] = True
+        home = square.argmin(1)
+        apart = np.sqrt(np.maximum(_squares(self.centres[home], self.centres), 1e-30))
+        border = (square - square[np.arange(len(x)), home][:, None]) / (2 * apart)
+        border[np.arange(len(x)), home] = -1.0
+        if self.probes is None or self.probes >= border.shape[1]:
+            asked = [np.flatnonzero(row <= self.margin) for row in border]
+        else:
+            first = np.argpartition(border, self.probes - 1, axis=1)[:, : self.probes]
+            asked = [np.sort(o[b]) for o, b in zip(first, np.take_along_axis(border, first, 1) <= self.margin, strict=True)]
         left = x - self.centres[home]
         codes, error, at = [], np.zeros(len(x)), 0
         for book in self.books:
@@ -89,7 +97,7 @@ class Quantiser:
             square = _squares(part, book)
             codes.append(square.argmin(1))
             error += ((part - book[codes[-1]]) ** 2).sum(1)
-        return home, np.stack(codes, 1).astype(np.uint8), np.sqrt(error), [o[a] for o, a in zip(order, asked, strict=True)]
+        return home, np.stack(codes, 1).astype(np.uint8), np.sqrt(error), asked
 
     def lookups(self, x: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of vectors to the quantised entries of a list."""
@@ -141,10 +149,16 @@ class _Found:
             who, at = np.unique(ids, return_inverse=True)
             for x, n in zip(who.tolist(), np.bincount(at, more).tolist(), strict=True):
                 self.counts[x] = self.counts.get(x, 0) + int(n)
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
-            p, q = self.root(x), self.root(y)
-            if p != q:
-                self.up[max(p, q)] = min(p, q)
+        at, step = 0, 256
+        while at < len(a):  # what earlier pairs have joined is told by roots, so a dense cluster costs its members, not its pairs
+            ends = np.stack([a[at : at + step], b[at : at + step]], 1)
+            who, place = np.unique(ends, return_inverse=True)
+            roots = np.array([self.root(x) for x in who.tolist()], np.int64)[place.reshape(-1, 2)]
+            for x, y in np.unique(roots[roots[:, 0] != roots[:, 1]], axis=0).tolist():
+                p, q = self.root(x), self.root(y)
+                if p != q:
+                    self.up[max(p, q)] = min(p, q)
+            at, step = at + step, 2 * step
 
     def rows(self) -> pa.RecordBatch:
         edges = [(x, self.root(x)) for x, y in self.up.items() if x != y]
@@ -191,8 +205,7 @@ def near_duplicates(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     threshold: float = 0.95,
-    probes: int = 16,
-    margin: float = 0.32,
+    probes: int | None = PROBES,
     sample_rows: int = SAMPLE_ROWS,
     list_rows: int = LIST_ROWS,
     cell_rows: int = CELL_ROWS,
@@ -203,6 +216,7 @@ def near_duplicates(
 
     Links have a cosine of ``threshold`` or more in double precision; none below is given. Centres
     and codebooks are fitted on at most ``2 * sample_rows`` vectors; all are indexed and all ask.
+    ``probes=None`` is exact: every list that can hold a partner is asked.
 
     Vectors that are null, empty or zero, or that hold null or non-finite components, link with
     nothing; so do vectors of another width than most have, unless ``all_widths`` gives each width
@@ -223,7 +237,7 @@ def near_duplicates(
         if i and numbers[width] < 2:
             continue
         own = distinct.where(F.length("vec") == width)
-        new = _links(own, numbers[width], width // 8, threshold, probes, margin, sample_rows, list_rows, cell_rows)
+        new = _links(own, numbers[width], width // 8, threshold, probes, sample_rows, list_rows, cell_rows)
         links = links.union(new) if links else new
     if links is None:
         return table.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.col("id").isNotNull().alias("kept"))
@@ -246,20 +260,23 @@ def near_duplicates(
     )
 
 
-def _links(distinct, n, width, threshold, probes, margin, sample_rows, list_rows, cell_rows) -> DataFrame:
+def _links(distinct, n, width, threshold, probes, sample_rows, list_rows, cell_rows) -> DataFrame:
     spark = distinct.sparkSession
     sample_rows = max(256, min(sample_rows, SAMPLE_BYTES // (8 * width)))
     every = -(-n // sample_rows)
     sample = distinct.where(F.pmod(F.xxhash64("vec"), F.lit(every)) == 0) if every > 1 else distinct
     drawn = [bytes(r.vec) for r in sample.select("vec").limit(2 * sample_rows).collect()] or [bytes(distinct.first().vec)]
     lists = int(min(MOST_LISTS, max(1, n // list_rows), max(16, CENTRE_BYTES // (8 * width))))
+    margin = np.sqrt(max(0.0, 2 - 2 * threshold)) / 2 + 1e-6
     fitted = Quantiser.fit(_unit(pa.array(sorted(drawn), pa.binary()), width), lists, probes, margin)
     book = spark.sparkContext.broadcast(fitted)
 
+    step = max(1, (1 << 20) // len(fitted.centres))
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 home, codes, error, asked = book.value.assign(_unit(part.column("vec"), width))
                 columns = [
                     part.column("vid"),
