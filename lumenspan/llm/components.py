@@ -43,6 +43,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     )
 
 
+#: A key with more than one in so many rows is joined by a broadcast; there are fewer such keys than this.
+HOT_SHARE = 200
+
+
+def join_unique(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` but ``n``, of which each key has one row.
+
+    ``n`` is the number of rows of the key. Keys with more than 1 / ``HOT_SHARE`` of all rows are fewer
+    than ``HOT_SHARE``: they are broadcast, so no task gets more than such a share of one key. Both
+    tables are read twice and should be written ones. Keys that ``table`` doesn't have, null ones
+    among them, are left out.
+    """
+    total = table.agg(F.sum("n")).first()[0] or 0
+    hot = table.where(F.col("n") * F.lit(HOT_SHARE) > total).limit(HOT_SHARE)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.drop("n"), key)
+    return rest.unionByName(rows.join(F.broadcast(hot.drop("n")), key))
+
+
 def _written(edges: DataFrame) -> tuple[str, DataFrame, tuple]:
     path = shared.scratch(edges.sparkSession, "edges")
     edges.write.parquet(path)

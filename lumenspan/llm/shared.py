@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenspan.functions.workers import ship
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,17 +44,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def cut(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; with ``keep`` it outlives its ``scope``.
 
     A lost executor then costs a reread of files, not the stages before them.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if keep:
+        _kept.add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """At its end all tables written within go, but for one to keep; then those kept before go as well.
+
+    So a chain of stages has one result and the tables of one stage on disk at a time.
+    """
+    before = list(_written)
+    yield
+    new = _written[len(before) :]
+    for entry in [*(x for x in before if x[1] in _kept), *(x for x in new if x[1] not in _kept)]:
+        drop(spark, entry[1])
+        _kept.discard(entry[1])
+        _written.remove(entry)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
@@ -82,7 +100,11 @@ def place(df: DataFrame, name: str) -> int:
 
 
 def arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors, in batches of a few megabytes."""
+    """``df.mapInArrow`` with this package on the executors, in batches of a few megabytes.
+
+    Spark takes the size of batches from the session when a plan is run, so larger sizes that the
+    session has are lowered to ours; smaller ones stay.
+    """
     ship(df.sparkSession)
     for key, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
         name = f"spark.sql.execution.arrow.{key}"
