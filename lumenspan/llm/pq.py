@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lumenspan.llm import shared
-from lumenspan.llm.components import components
+from lumenspan.llm.components import components, join_unique
 
 #: Rows that centres and codebooks are fitted on, and bytes of them and of the centres, at most (twice so, at worst).
 SAMPLE_ROWS, SAMPLE_BYTES, CENTRE_BYTES = 16_384, 64 << 20, 16 << 20
@@ -246,11 +246,14 @@ def near_duplicates(
     rooted = (
         distinct.join(found, F.col("vid") == F.col("node"), "left")
         .join(counts, F.col("vid") == F.col("a"), "left")
-        .select("vec", "least_id", F.coalesce("root", "vid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("vec", "least_id", "copies", F.coalesce("root", "vid").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_vec = rooted.join(named, "root").select("vec", "n_links", "component_id")
-    linked = table.join(by_vec, "vec", "left").withColumn("linked", F.col("n_links").isNotNull())
+    rooted = shared.cut(rooted, "vector-roots")
+    named = shared.cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), "vector-components")
+    by_vec = shared.cut(join_unique(rooted, named, "root").select("vec", "n_links", "component_id", F.col("copies").alias("n")), "vectors-by-component")
+    indexed = F.col("vec").isNotNull() & F.length("vec").isin(widths)
+    alone = table.where(~F.coalesce(indexed, F.lit(False))).select("vec", "id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast(table.schema["id"].dataType).alias("component_id"))
+    linked = join_unique(table.where(indexed), by_vec, "vec").select("vec", "id", "n_links", "component_id").union(alone).withColumn("linked", F.col("n_links").isNotNull())
     component = F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("id"))
     return linked.select(
         F.col("id").alias(id_col),
