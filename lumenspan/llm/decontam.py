@@ -290,7 +290,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int)
             for part, i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.setdefault(part, []).append((i, text))
         for part in sorted(rows):
-            path = f"{folder}-{part}-{uuid.uuid4().hex}.npz"
+            path = f"{folder}/{part}-{uuid.uuid4().hex}.npz"
             store, place = filesystem(path)
             store.create_dir(place.rsplit("/", 1)[0], recursive=True)
             with store.open_output_stream(place, compression=None) as file:

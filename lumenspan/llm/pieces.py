@@ -124,12 +124,14 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
     """``docs`` with an array of piece ids of each whole text in a new column.
 
     With ``decoded_col``, what the ids decode to is a further column, made in the same pass.
-    A null text has null ids, an empty one none. Rows, repeated or not, and columns stay as they are;
-    columns of the names of new ones are replaced.
+    A null text has null ids, an empty one none. Of equally good segmentations that with the longer
+    last piece is taken. Very long texts are encoded whole. Rows, repeated or not, and columns stay as
+    they are; columns of the names of new ones are replaced. An empty table gives no rows. The space
+    mark U+2581 is a space to the model: it is encoded, but decodes to a space.
     """
     new = [ids_col, *([decoded_col] if decoded_col else [])]
     base = docs.select([c for c in docs.columns if c.lower() not in {n.lower() for n in new}])
-    at = base.columns.index(text_col)
+    at = shared.place(base, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
@@ -149,10 +151,13 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``rows`` with the text of an array of piece ids in a new column.
 
-    Null ids have a null text; ids that the model doesn't have are an error.
+    Null ids have a null text, no ids the empty one; ids that the model doesn't have are an error. Very
+    long arrays are decoded whole, repeated rows stay repeated, other columns are kept but for one of
+    the new name, and an empty table gives no rows. The space mark U+2581 of a text is a space to the
+    model, so a text that holds one comes back with a space in its place.
     """
     base = rows.select([c for c in rows.columns if c.lower() != text_col.lower()])
-    at = base.columns.index(ids_col)
+    at = shared.place(base, ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
