@@ -20,8 +20,9 @@ SECRETS = (
 
 def to_lines(text: Column) -> Column:
     """The lines of a text; a line break at the end opens no further line. Null and empty: none."""
-    parts = F.split(F.coalesce(text, F.lit("")), LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    # Through a lambda's variable, so that the text is split once.
+    whole = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, F.lit(1), F.size(p) - 1)).otherwise(p)
+    return F.element_at(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), LINE_BREAK)), whole), 1)
 
 
 def strip(text: Column) -> Column:

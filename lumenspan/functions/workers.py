@@ -28,6 +28,16 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in as many partitions as tasks run at once, at least; a table in few files is dealt out.
+
+    Costly work on each row would otherwise wait for the few tasks that read. A table in many files
+    stays as it is and isn't shuffled.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)
+
+
 def flat_map(df: DataFrame, function: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
     """Rows that ``function`` makes of each row; one batch in, batches of bounded size out."""
     ship(df.sparkSession)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from lumenspan.functions import text as T
 from lumenspan.operators.select import keep_first
 from lumenspan.schemas import LIMITS
+from lumenspan.sources.scratch import settled
 
 
 def search(edges: DataFrame, starts: DataFrame, depth: int, mode: str = "downstream", child: str = "OBJ", parent: str = "REFERENCED_OBJECT_NAME") -> DataFrame:
@@ -14,16 +15,21 @@ def search(edges: DataFrame, starts: DataFrame, depth: int, mode: str = "downstr
 
     ``starts`` has a column ``start``. Upstream follows from an object to what it refers to. Names
     are compared in upper case. All starts share each hop's join; a visited pair is never asked
-    again, so cycles end. Frontiers are distinct pairs, so a hub node meets each start once.
+    again, so cycles end. Frontiers are distinct pairs, so a hub node meets each start once. Each
+    hop is written once, so the plan of a hop is as long as that of the first, and the search ends
+    with the first hop that reaches nothing new.
     """
     a, b = (child, parent) if mode == "upstream" else (parent, child)
     steps = edges.select(F.upper(a).alias("node"), F.upper(b).alias("next")).where("node is not null and next is not null").distinct()
+    steps = settled(steps)
     found = starts.select(F.upper("start").alias("start")).where("start is not null").distinct()
-    seen = found.select("start", F.col("start").alias("node"), F.lit(0).alias("hop"))
+    seen = settled(found.select("start", F.col("start").alias("node"), F.lit(0).alias("hop")))
     frontier = seen
     for hop in range(1, depth + 1):
         reached = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
-        frontier = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop))
+        frontier = settled(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.where("hop > 0")
 

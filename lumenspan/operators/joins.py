@@ -14,19 +14,21 @@ def touched(ranges: DataFrame, points: DataFrame, keys: Sequence[str], begin: st
 
     Points are numbered in order within their key and both sides meet on that key alone; the two
     running counts of points before begin and up to end tell whether one lies between, so no pair
-    of a row and a point is ever made.
+    of a row and a point is ever made. Only distinct intervals and places go through the window; rows
+    meet the intervals that hold a point afterwards. Null keys and bounds hold nothing.
     """
-    side = ranges.select(*keys, F.col(begin).alias("_b"), F.col(end).alias("_e"), F.struct(*[F.col(c) for c in ranges.columns]).alias("_row"))
-    id_ = F.xxhash64(F.to_json("_row"), "_b", "_e", F.monotonically_increasing_id())
-    side = side.withColumn("_id", id_)
-    none = F.lit(None)
-    marks = side.select(*keys, F.explode(F.array(F.struct(F.col("_b").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("_e").alias("at"), F.lit(2).alias("kind")))).alias("m"), "_id", "_row")
-    marks = marks.select(*keys, F.col("m.at").alias("_at"), F.col("m.kind").alias("_kind"), "_id", "_row")
-    dots = points.select(*keys, F.col(point).alias("_at"), F.lit(1).alias("_kind"), none.cast("long").alias("_id"), none.cast(marks.schema["_row"].dataType).alias("_row"))
+    side = ranges.select(*keys, F.col(begin).alias("_b"), F.col(end).alias("_e")).distinct()
+    marks = side.select(*keys, "_b", "_e", F.explode(F.array(F.struct(F.col("_b").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("_e").alias("at"), F.lit(2).alias("kind")))).alias("m"))
+    marks = marks.select(*keys, F.col("m.at").alias("_at"), F.col("m.kind").alias("_kind"), "_b", "_e", F.lit(0).cast("long").alias("_n"))
+    kind = marks.schema["_b"].dataType
+    # Points of one place are one row with their number, so a key's window is as long as it has places.
+    dots = points.groupBy(*keys, F.col(point).alias("_at")).agg(F.count("*").alias("_n"))
+    dots = dots.select(*keys, "_at", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_b"), F.lit(None).cast(marks.schema["_e"].dataType).alias("_e"), "_n")
     running = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = marks.unionByName(dots).withColumn("_n", F.sum((F.col("_kind") == 1).cast("int")).over(running)).where("_kind <> 1")
-    pair = counted.groupBy(*keys, "_id").agg(F.max("_n").alias("_hi"), F.min("_n").alias("_lo"), F.first("_row").alias("_row"))
-    return pair.where("_hi > _lo").select("_row.*")
+    counted = marks.unionByName(dots).withColumn("_n", F.sum("_n").over(running)).where("_kind <> 1")
+    pair = counted.groupBy(*keys, "_b", "_e").agg(F.max("_n").alias("_hi"), F.min("_n").alias("_lo")).where("_hi > _lo")
+    known = pair.select(*keys, F.col("_b").alias(begin), F.col("_e").alias(end))
+    return ranges.join(known, [*keys, begin, end], "left_semi").select(ranges.columns)
 
 
 def changes(before: DataFrame, after: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -47,9 +49,30 @@ def paired(removed: DataFrame, added: DataFrame, keys: Sequence[str], order: str
     return left.join(right, [*keys, "k"]).select(*keys, "old", "new")
 
 
-def first_match(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], condition: Column, order: str) -> DataFrame:
-    """Of each row, its first candidate that fits; ``candidates`` is broadcast if Spark finds it small."""
-    return keep_first(rows.join(candidates, condition), keys, order)
+def within(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], text: Column, word: str) -> DataFrame:
+    """``(keys, candidate columns)``: each row with every candidate whose word its text holds.
+
+    Words have few lengths, which are collected; each text gives its distinct pieces of these lengths
+    and meets the words by equality, so no pair is made that doesn't fit. An empty word is in every
+    text that isn't null; null words and texts fit nothing.
+    """
+    lengths = [r[0] for r in candidates.where(F.col(word).isNotNull()).select(F.char_length(word)).distinct().collect()]
+    whole = F.col("_text")
+
+    def pieces_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.char_length(whole) - (n - 1), F.lit(1)))
+        cut = F.array_distinct(F.transform(places, lambda i: F.substring(whole, i, F.lit(n))))
+        return F.when(F.char_length(whole) >= n, cut) if n else F.array(F.lit(""))
+
+    pieces = [pieces_of(n) for n in lengths]
+    empty = F.array().cast("array<string>")
+    cut = rows.select(*keys, text.alias("_text")).where("_text is not null").select(*keys, F.explode(F.flatten(F.array(empty, *[F.coalesce(p, empty) for p in pieces]))).alias("_piece"))
+    return cut.join(candidates.withColumnRenamed(word, "_piece"), "_piece").withColumnRenamed("_piece", word)
+
+
+def first_within(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], text: Column, word: str, order: str) -> DataFrame:
+    """Of each row, its first candidate whose word the row's text holds."""
+    return keep_first(within(rows, candidates, keys, text, word), keys, order)
 
 
 def either(rows: DataFrame, conditions: Sequence[tuple[DataFrame, str]]) -> DataFrame:

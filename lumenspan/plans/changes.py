@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from lumenspan.functions import text as T
@@ -11,6 +9,7 @@ from lumenspan.operators import audit, coverage, features, findings, graph, inde
 from lumenspan.plans import fixtures as X
 from lumenspan.plans.shared import query, table
 from lumenspan.schemas import COMMENTS
+from lumenspan.sources import scratch
 from lumenspan.streaming import events
 
 
@@ -181,11 +180,15 @@ def _stream(spark, sf_dir):
 
 
 def _all_of(stream, mode):
-    """What a stream gives until all its input has been read."""
-    name = f"stream_{uuid.uuid4().hex}"
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives until all its input has been read: its batches as Parquet in the shared folder."""
+    out, marks = scratch.folder(stream.sparkSession), scratch.folder(stream.sparkSession)
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}" if mode == "append" else f"{out}/batch=0")
+
+    run = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", marks).trigger(availableNow=True).start()
     run.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", out).parquet(f"{out}/batch=*").select(stream.columns)
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY 1")

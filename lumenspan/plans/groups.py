@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from lumenspan.functions import text as T
-from lumenspan.operators import graph, lines, select, stores
-from lumenspan.plans.shared import query, severity, table
+from lumenspan.operators import features, graph, lines, select, stores
+from lumenspan.plans.shared import documents, query, severity, table
 
 LATEST_SQL = "row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id)"
 
@@ -178,12 +178,12 @@ def catalog_merge(spark, sf_dir):
 
 
 @query(
-    """WITH o AS (SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber = 1), n AS (SELECT l_partkey, l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem WHERE l_linenumber = 2 GROUP BY ALL)
+    """WITH o AS (SELECT l_partkey, l_suppkey, l_orderkey FROM lineitem WHERE l_linenumber = 1), n AS (SELECT l_partkey, l_suppkey, min(l_orderkey) AS l_orderkey FROM lineitem WHERE l_linenumber > 1 GROUP BY ALL)
     SELECT * FROM o UNION ALL SELECT n.* FROM n ANTI JOIN o USING (l_partkey, l_suppkey)"""
 )
 def insert_absent(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", "l_linenumber")
-    first, second = (items.where(f"l_linenumber = {n}").drop("l_linenumber") for n in (1, 2))
+    first, second = (items.where(w).drop("l_linenumber") for w in ("l_linenumber = 1", "l_linenumber > 1"))
     return stores.insert_absent(first, second, ["l_partkey", "l_suppkey"])
 
 
@@ -192,7 +192,7 @@ TOKENS_SQL = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS cont
 
 
 def _index(spark, sf_dir):
-    docs = lines.explode_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
+    docs = lines.explode_lines(documents(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
     return docs.select("doc_id", "line", F.explode(lines.tokens(F.col("content"))).alias("name"))
 
 
@@ -212,15 +212,20 @@ def index_search(spark, sf_dir):
     return index.join(wanted, "name", "left_semi").groupBy("name").agg(F.count("*").alias("total"), F.min("doc_id").alias("first_doc"))
 
 
+#: Words as the operator takes them: letters, marks, digits and connectors of any script.
+UNICODE_WORDS = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
+
+
 @query(
-    f"""WITH {TOKENS_SQL}, w AS (SELECT DISTINCT lower(unnest(string_split_regex(text, '[^A-Za-z0-9_]+'))) AS word FROM benchmark),
-    m AS (SELECT DISTINCT lower(name) AS word, doc_id, line FROM t)
+    rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line FROM documents),
+    w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '{UNICODE_WORDS}')) AS word FROM benchmark),
+    m AS (SELECT DISTINCT unnest(string_split_regex(lower(content), '{UNICODE_WORDS}')) AS word, doc_id, line FROM l)
     SELECT word, doc_id, line FROM m SEMI JOIN w USING (word) WHERE length(word) >= 3 QUALIFY row_number() OVER (PARTITION BY word ORDER BY doc_id, line) <= 20"""
 )
 def word_consumers(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(lines.tokens(F.lower("text"))).alias("word")).distinct()
-    found = _index(spark, sf_dir).select(F.lower("name").alias("word"), "doc_id", "line").where(F.char_length("word") >= 3).distinct()
-    return select.top_n(found.join(words, "word", "left_semi"), ["word"], 20, "doc_id", "line")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"(?U)\W+")).alias("term")).distinct()
+    docs = lines.explode_lines(documents(spark, sf_dir).select("doc_id", "text"), "text", "doc_id")
+    return features.consumers(words, docs.toDF("path", "line", "content"), 20).select(F.col("term").alias("word"), F.col("path").alias("doc_id"), "line")
 
 
 @query("SELECT doc_id, substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ' '), 1, 60) AS slug FROM documents")

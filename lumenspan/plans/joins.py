@@ -19,14 +19,14 @@ def interval_semi(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-02' GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-29' GROUP BY ALL)
+    """WITH a AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts < TIMESTAMP '2024-01-16' GROUP BY ALL), b AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY ALL)
     SELECT user_id, event_type, CASE WHEN a.n IS NULL THEN 'added' WHEN b.n IS NULL THEN 'removed' WHEN a.n = b.n THEN 'same' ELSE 'changed' END AS change, a.n AS old, b.n AS new
     FROM a FULL JOIN b USING (user_id, event_type)"""
 )
 def full_outer_diff(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     stamp = lambda t: F.lit(t).cast("timestamp_ntz")
-    sides = [events.where(w).groupBy("user_id", "event_type").agg(F.count("*").alias("n")) for w in (F.col("ts") < stamp("2024-01-02"), F.col("ts") >= stamp("2024-01-29"))]
+    sides = [events.where(w).groupBy("user_id", "event_type").agg(F.count("*").alias("n")) for w in (F.col("ts") < stamp("2024-01-16"), F.col("ts") >= stamp("2024-01-16"))]
     return joins.changes(*sides, ["user_id", "event_type"], "n")
 
 
@@ -76,7 +76,7 @@ def or_semi(spark, sf_dir):
 def theta_substring(spark, sf_dir):
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.get(F.array(*map(F.lit, ("ring", "blue", "red", "o", "small"))), F.col("n_nationkey") % 5).alias("w"))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return joins.first_match(parts, nations, ["p_partkey"], F.lower("p_name").contains(F.col("w")), "n_nationkey").select("p_partkey", "n_name")
+    return joins.first_within(parts, nations, ["p_partkey"], F.lower("p_name"), "w", "n_nationkey").select("p_partkey", "n_name")
 
 
 def _edges(spark, sf_dir):

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lumenspan.functions.workers import spread
 from lumenspan.operators import lines, rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, in as many partitions as there are tasks at once: their texts are scanned."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def severity(priority: str = "o_orderpriority") -> Column:
     """An order's priority in the role of a severity."""
     n = F.substring(priority, 1, 1)
@@ -39,7 +45,7 @@ SEVERITY_SQL = "CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN
 
 
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
     return rules.scan(lines.explode_lines(docs, "text", "doc_id", "source"), rules.TEXT_RULES, "doc_id", "source", "line")
 
 

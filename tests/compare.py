@@ -39,7 +39,7 @@ def differences(spark, con, sf_dir, query, sql):
     if sorted(names) != sorted(got.columns):
         return [f"columns {sorted(got.columns)} and {sorted(names)}"]
     a, b = rows_of(got.columns, got.collect()), rows_of(names, want.fetchall())
-    if not b:
+    if not a and not b:
         return ["no rows"]
     if a != b:
         x, y = [r for r in a if r not in set(b)][:2], [r for r in b if r not in set(a)][:2]
