@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumenspan.functions import text as T
 from lumenspan.operators import stores
 from lumenspan.operators.pipelines import job_name
+from lumenspan.operators.joins import within
 from lumenspan.operators.select import keep_first, top_n
 from lumenspan.schemas import LIMITS
 
@@ -62,6 +63,11 @@ def groups_of(content: Column) -> Column:
     return F.array_distinct(F.filter(clean, lambda x: F.char_length(x) > 3))
 
 
+def last_of_line(rows: DataFrame, key: str = "pr_id") -> DataFrame:
+    """Of rows with one line number on a side of a file, the last by ``pos``."""
+    return keep_first(rows, [key, "file", "change", "line"], F.desc("pos"))
+
+
 def column_changes(cursor: DataFrame, key: str = "pr_id") -> DataFrame:
     """``(key, file, line, column_name, change_type, old_type, new_type)`` in feature files of a diff.
 
@@ -69,7 +75,7 @@ def column_changes(cursor: DataFrame, key: str = "pr_id") -> DataFrame:
     both sides with one type is no change.
     """
     text = T.strip(F.col("text"))
-    lines = cursor.where(feature_file(F.col("file")) & (F.col("change") != "context")).withColumn("line", F.coalesce("new_line", "old_line"))
+    lines = last_of_line(cursor.where(feature_file(F.col("file")) & (F.col("change") != "context")).withColumn("line", F.coalesce("new_line", "old_line")), key)
     renamed = lines.where((F.col("change") == "added") & text.rlike(RENAME)).select(
         key, "file", "line", F.regexp_extract(text, RENAME, 1).alias("column_name"), F.lit("renamed").alias("change_type"),
         F.lit(None).cast("string").alias("old_type"), F.regexp_extract(text, RENAME, 2).alias("new_type"),
@@ -115,11 +121,18 @@ def consumers(terms: DataFrame, lines: DataFrame, n: int = LIMITS.feature_consum
 
 
 def catalog(columns: DataFrame, jobs: DataFrame, repo: str, built_at: float) -> DataFrame:
-    """Catalog entries of added columns; load jobs belong to a feature whose group they name."""
+    """Catalog entries of added columns.
+
+    Load jobs belong to a feature if they name its group, or a group that is a part of its source
+    file's path; groups meet paths by equality of pieces.
+    """
     entry = columns.where("change_type = 'added'").select(
         F.col("column_name").alias("feature_name"), stores.feature_group(F.col("file")).alias("feature_group"), F.col("file").alias("source_file"), "line"
     )
     last = keep_first(entry, ["feature_name"], F.desc("source_file"), F.desc("line")).drop("line")
     named = jobs.where("job_kind = 'load'").select("job_name", F.explode("feature_groups").alias("feature_group"))
-    own = last.join(named, "feature_group", "left").groupBy("feature_name", "feature_group", "source_file").agg(F.sort_array(F.collect_set("job_name")).alias("load_jobs"))
+    in_path = within(last.select("source_file").distinct(), named.toDF("job_name", "_group"), ["source_file"], F.col("source_file"), "_group").select("source_file", "job_name")
+    by_group = last.join(named, "feature_group").select("feature_name", "job_name")
+    jobs_of = by_group.union(last.join(in_path, "source_file").select("feature_name", "job_name")).groupBy("feature_name").agg(F.sort_array(F.collect_set("job_name")).alias("load_jobs"))
+    own = last.join(jobs_of, "feature_name", "left").withColumn("load_jobs", F.coalesce("load_jobs", F.array().cast("array<string>")))
     return own.select(F.lit(repo).alias("feature_store_repo"), "feature_name", "feature_group", "source_file", "load_jobs", F.lit(built_at).alias("built_at"))

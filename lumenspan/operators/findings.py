@@ -137,3 +137,10 @@ def token_estimate(chars: Column) -> Column:
 def review_minutes(files: Column, lines: Column) -> Column:
     """Two minutes a file and one for fifty lines, ten at least."""
     return F.greatest(files * 2 + F.floor(lines / 50), F.lit(10))
+
+
+def agent_totals(agents: DataFrame, *keys: str) -> DataFrame:
+    """``(keys, agents, failed, findings)`` of ``(keys, error, findings array)``: findings of agents without an error."""
+    failed = F.coalesce(F.col("error"), F.lit("")) != ""
+    counted = F.when(~failed, F.coalesce(F.size("findings"), F.lit(0))).otherwise(0)
+    return agents.groupBy(*keys).agg(F.count("*").alias("agents"), F.count_if(failed).alias("failed"), F.sum(counted).cast("long").alias("findings"))

@@ -32,11 +32,14 @@ PYTHON_SQL = re.compile(r"""\b(?:spark|session|sc|sql)\s*\.\s*sql\s*\(\s*(f?)("{
 YAML_USE = re.compile(r"""(table_name|target_table|source_table|output_table|input_table|catalog_table|snowflake_table|destination)\s*:\s*["']?([A-Za-z_][A-Za-z0-9_.]*)["']?""", re.I)
 RESERVED = frozenset(
     (
-        "SELECT FROM WHERE JOIN LEFT RIGHT INNER OUTER FULL ON AND OR NOT IN IS NULL AS BY GROUP ORDER HAVING LIMIT OFFSET UNION ALL "
-        "DISTINCT CASE WHEN THEN ELSE END WITH INSERT INTO VALUES UPDATE SET DELETE MERGE USING MATCHED CREATE DROP ALTER TABLE VIEW "
-        "REPLACE IF EXISTS ADD COLUMN RENAME TO TRUE FALSE LIKE BETWEEN OVER PARTITION ROWS RANGE UNBOUNDED FOLLOWING PRECEDING CURRENT "
-        "ROW CATALOG SCHEMA DATABASE USE SHOW DESCRIBE EXPLAIN BEGIN COMMIT ROLLBACK TRANSACTION GRANT REVOKE COPY STAGE FORMAT OPTIONS"
-    ).split()
+        *("SELECT", "FROM", "WHERE", "JOIN", "LEFT", "RIGHT", "INNER", "OUTER", "FULL", "ON", "AND", "OR"),
+        *("NOT", "IN", "IS", "NULL", "AS", "BY", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "UNION"),
+        *("ALL", "DISTINCT", "CASE", "WHEN", "THEN", "ELSE", "END", "WITH", "INSERT", "INTO", "VALUES", "UPDATE"),
+        *("SET", "DELETE", "MERGE", "USING", "MATCHED", "CREATE", "DROP", "ALTER", "TABLE", "VIEW", "REPLACE", "IF"),
+        *("EXISTS", "ADD", "COLUMN", "RENAME", "TO", "TRUE", "FALSE", "LIKE", "BETWEEN", "OVER", "PARTITION", "ROWS"),
+        *("RANGE", "UNBOUNDED", "FOLLOWING", "PRECEDING", "CURRENT", "ROW", "CATALOG", "SCHEMA", "DATABASE", "USE", "SHOW", "DESCRIBE"),
+        *("EXPLAIN", "BEGIN", "COMMIT", "ROLLBACK", "TRANSACTION", "GRANT", "REVOKE", "COPY", "STAGE", "FORMAT", "OPTIONS"),
+    )
 )
 DDL = ("CREATE", "DROP", "ALTER")
 
@@ -98,12 +101,17 @@ def usages(files: DataFrame) -> DataFrame:
 
 def merged(rows: DataFrame) -> DataFrame:
     """One row for each object: lists united in order; a DDL label, the last of several, beats others."""
-    order = F.struct("file", "line", "operation")
-    united = lambda c: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col(c).alias("v")))), lambda x: x["v"]))).alias(c)
+    order, object_ = F.struct("file", "line", "operation"), F.upper("raw_ref").alias("object")
     ddl = F.col("operation").isin(*DDL)
-    return rows.groupBy(F.upper("raw_ref").alias("object")).agg(
-        F.coalesce(F.max_by("operation", F.when(ddl, order)), F.min_by("operation", order)).alias("operation"), united("upstream"), united("downstream"), F.count("*").alias("uses")
-    )
+    label = F.coalesce(F.max_by("operation", F.when(ddl, order)), F.min_by("operation", order))
+    out = rows.groupBy(object_).agg(label.alias("operation"), F.count("*").alias("uses"))
+    for c in ("upstream", "downstream"):
+        # Each name of an object once before names are listed, so a much used object is no long list.
+        each = rows.select(object_, order.alias("o"), F.posexplode(c).alias("n", "name")).groupBy("object", "name").agg(F.min(F.struct("o", "n")).alias("first"))
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"])
+        lists = each.groupBy("object").agg(listed.alias(c))
+        out = out.join(lists, "object", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out.select("object", "operation", "upstream", "downstream", "uses")
 
 
 def shown(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenspan.functions import text as T
-from lumenspan.operators.select import keep_first
+from lumenspan.operators.joins import first_within
 
 # Keys of job files.
 JOB_NAME = r"(?m)^name\s*:\s*(.+)$"
@@ -88,9 +88,7 @@ def job_changes(texts: DataFrame, files: DataFrame, key: str = "pr_id") -> DataF
         (~was.eqNullSafe(now)).alias("schedule_changed"),
         was.alias("old_schedule"),
         now.alias("new_schedule"),
-        F.sort_array(F.array_except(new, old)).alias("tasks_added"),
-        F.sort_array(F.array_except(old, new)).alias("tasks_removed"),
-        F.sort_array(F.array_intersect(new, old)).alias("tasks_modified"),
+        *[c.alias(n) for c, n in zip(set_changes(new, old), ("tasks_added", "tasks_removed", "tasks_modified"), strict=True)],
         (_all(removed, WORKERS) != _all(added, WORKERS)).alias("cluster_changed"),
     )
     part = lambda ok, *text: F.when(ok, F.concat(*text))
@@ -111,7 +109,7 @@ def model_changes(texts: DataFrame, key: str = "pr_id") -> DataFrame:
     added, removed = _all(F.col("added"), MODEL_REF), _all(F.col("removed"), MODEL_REF)
     model = F.lower("file").endswith(".sql") | F.lower("file").contains("dbt")
     some = (F.size(added) > 0) | (F.size(removed) > 0) | (T.strip(F.col("added")) != "")
-    changed = F.sort_array(F.array_union(F.array_except(added, removed), F.array_except(removed, added)))
+    changed = on_one_side(added, removed)
     kind = F.when(T.strip(F.col("removed")) == "", "added").otherwise("modified")
     return texts.where(model & some).select(key, "file", T.stem(F.col("file")).alias("model_name"), kind.alias("change_type"), changed.alias("refs_changed"))
 
@@ -133,9 +131,22 @@ def dependencies(files: DataFrame) -> DataFrame:
 
 
 def dependency_risks(changes: DataFrame, depends: DataFrame, files: DataFrame, key: str = "pr_id") -> DataFrame:
-    """Jobs at risk from changed ones, with the first file (by ``ord``) that defines the dependent job."""
+    """Jobs at risk from changed ones, with the first file (by ``ord``) whose job's name is in that of the dependent job.
+
+    A dependent job without such a file has a null file.
+    """
     risk = F.when(F.col("fail_flag") == False, "silent_cascade").when(F.col("schedule_changed"), "schedule_conflict").otherwise("missing_output")  # noqa: E712
     hit = changes.join(depends, F.col("job_name") == F.col("upstream")).select(key, "upstream", "downstream", risk.alias("risk")).distinct()
     named = files.select("ord", F.col("path").alias("downstream_file"), job_name(F.col("content")).alias("_job")).where("_job is not null")
-    exact = hit.withColumn("_job", F.substring_index("downstream", ".", 1)).join(named, "_job", "left")
-    return keep_first(exact, [key, "upstream", "downstream"], F.asc_nulls_last("ord")).select(key, "upstream", "downstream", "downstream_file", "risk")
+    found = first_within(hit.select("downstream").distinct(), named, ["downstream"], F.col("downstream"), "_job", "ord").select("downstream", "downstream_file")
+    return hit.join(found, "downstream", "left").select(key, "upstream", "downstream", "downstream_file", "risk")
+
+
+def set_changes(new: Column, old: Column) -> tuple[Column, Column, Column]:
+    """What two arrays have as sets: only the new one, only the old one, both; each sorted."""
+    return F.sort_array(F.array_except(new, old)), F.sort_array(F.array_except(old, new)), F.sort_array(F.array_intersect(new, old))
+
+
+def on_one_side(a: Column, b: Column) -> Column:
+    """What only one of two arrays has, sorted."""
+    return F.sort_array(F.array_union(F.array_except(a, b), F.array_except(b, a)))

@@ -176,3 +176,58 @@ def listed(rows: DataFrame, repo: str | None = None) -> DataFrame:
     found = rows.where(F.col("repo") == repo) if repo else rows
     folder = F.regexp_replace("path", "/[^/]*$", "")
     return found.groupBy(folder.alias("folder")).agg(F.sort_array(F.collect_list(T.base_name(F.col("path")))).alias("files"))
+
+
+def _blocks(text: Column, start: str) -> Column:
+    """The parts of a text that begin with a line of a pattern."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), rf"(?m)(?=^{start})"), T.strip), lambda b: b.rlike(rf"\A{start}"))
+
+
+def _labelled(block: Column, label: str, until: str) -> Column:
+    return T.strip(F.regexp_extract(block, rf"(?s)\*\*{label}:\*\*\s*(.+?)(?:{until})", 1))
+
+
+def evaluation_findings(text: Column) -> Column:
+    """``struct(severity, title, location, description, fix)`` of each finding under ``### [SEVERITY] title``."""
+    head, fix = r"### \[([A-Z]+)\][ \t]*([^\n]+)", r"(?s)\*\*Fix:\*\*\s*(.+?)(?:\n\n|\z)"
+    location = r"\*\*Location:\*\*\s*(.+?)(?:\n|\z)"
+    body = lambda b: F.regexp_replace(F.regexp_replace(b, rf"\A{head}\s*", ""), rf"(?s)\A.*?{location}", "")
+    return F.transform(
+        _blocks(text, head),
+        lambda b: F.struct(
+            F.regexp_extract(b, head, 1).alias("severity"),
+            T.strip(F.regexp_extract(b, head, 2)).alias("title"),
+            T.strip(F.regexp_extract(b, location, 1)).alias("location"),
+            T.strip(F.regexp_replace(body(b), r"(?s)\*\*Fix:\*\*\s*.+", "")).alias("description"),
+            T.strip(F.regexp_extract(body(b), fix, 1)).alias("fix"),
+        ),
+    )
+
+
+def grades(text: Column) -> Column:
+    """``struct(security, secrets, pii)`` of the line of grades, empty where there is none."""
+    pattern = r"\*\*Security:\*\*\s*(\S+)\s*\|\s*Secrets:\s*(\S+)\s*\|\s*PII:\s*(\S+)"
+    return F.struct(*[F.coalesce(F.regexp_extract(text, pattern, n), F.lit("")).alias(name) for n, name in enumerate(("security", "secrets", "pii"), 1)])
+
+
+def evaluated_modules(text: Column) -> Column:
+    """``struct(name, purpose)`` of each module: its heading, and the first line below."""
+    head = r"### `([^`]+)`\n"
+    return F.transform(
+        _blocks(text, head),
+        lambda b: F.struct(T.strip(F.regexp_extract(b, head, 1)).alias("name"), T.strip(F.substring_index(T.strip(F.regexp_replace(b, rf"\A{head}", "")), "\n", 1)).alias("purpose")),
+    )
+
+
+def remediation_plan(text: Column) -> Column:
+    """``struct(priority, severity, title, files, problem, change_plan, acceptance_check)`` of each numbered step."""
+    head = r"### (\d+)\. \[([A-Z]+)\][ \t]*([^\n]+)"
+    got = lambda b, n: T.strip(F.regexp_extract(b, head, n))
+    part = r"\n\*\*|\z"
+    return F.transform(
+        _blocks(text, head),
+        lambda b: F.struct(
+            got(b, 1).alias("priority"), got(b, 2).alias("severity"), got(b, 3).alias("title"), _labelled(b, "Files", r"\n|\z").alias("files"),
+            _labelled(b, "Problem", part).alias("problem"), _labelled(b, "Change plan", part).alias("change_plan"), _labelled(b, "Acceptance check", part).alias("acceptance_check"),
+        ),
+    )

@@ -26,7 +26,8 @@ class Rule:
     holds: tuple[str, ...] = ()
 
 
-# Ids, weakness numbers, severities, categories and patterns of the rules for code.
+# Ids, weakness numbers, severities, categories and patterns of the rules for code. The last part
+# of SEC-010, which names a statement, may be missing: what builds text in an execute call is told by the rest.
 SECURITY_RULES = (
     Rule("SEC-001", "CWE-798", "critical", "secrets", r"""(?i)(api[_\-]?key|api[_\-]?secret|access[_\-]?token|auth[_\-]?token|secret[_\-]?key|private[_\-]?key|client[_\-]?secret|password|passwd|pwd)\s*=\s*["'][A-Za-z0-9+/\-_]{8,}["']""", "Credential in source code", "Read it from the environment or a secrets manager.", mask=True),
     Rule("SEC-002", "CWE-798", "critical", "secrets", r"(sk-ant-|ghp_|ghs_|github_pat_|xoxb-|xoxp-|AKID|AKIA)[A-Za-z0-9+/\-_]{10,}", "Key of a known format", "Revoke the key and read a new one from the environment.", mask=True),

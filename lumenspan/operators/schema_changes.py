@@ -124,3 +124,19 @@ def consumers(changes: DataFrame, lines: DataFrame, key: str = "pr_id") -> DataF
     hits = words.join(names, "name").where("_path <> _defined").dropDuplicates([key, "name", "_path", "_line"])
     snippet = F.substring(T.strip(F.col("content")), 1, 120)
     return hits.select(key, "name", F.col("_path").alias("file"), F.col("_line").alias("line"), snippet.alias("snippet"), consumer_kind(snippet).alias("consumer_kind"))
+
+
+def consumers_by_object(consumers: DataFrame, key: str = "name", shown: int = 5) -> DataFrame:
+    """``(object, refs, columns, more)`` of consumers of ``object.column`` names.
+
+    The object is what stands before the last dot, "—" without one. ``refs`` counts the consumers,
+    ``columns`` has the first ``shown`` distinct columns in order, ``more`` is the number of others.
+    """
+    name = F.col(key)
+    dotted = name.contains(".")
+    column = F.when(dotted, F.substring_index(name, ".", -1)).otherwise(name)
+    object_ = F.when(dotted, F.regexp_replace(name, r"(?s)\.[^.]*\z", "")).otherwise("—")
+    counts = consumers.groupBy(object_.alias("object"), column.alias("column")).agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("object").orderBy("column")))
+    first = F.array_compact(F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.col("column")))))
+    return ranked.groupBy("object").agg(F.sum("n").alias("refs"), first.alias("columns"), F.greatest(F.count("*") - shown, F.lit(0)).alias("more"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumenspan.plans import changes, groups, joins, scans  # noqa: F401  they register their queries
+from lumenspan.plans import changes, groups, joins, repos, scans  # noqa: F401  they register their queries
 from lumenspan.plans.shared import ORACLES, QUERIES, Query
 
 

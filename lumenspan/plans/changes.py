@@ -201,9 +201,9 @@ def event_stream(spark, sf_dir):
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'signup' AND user_id NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_custkey IS NOT NULL)")
 def unreviewed_stream(spark, sf_dir):
     """Events of a stream whose key a table doesn't have."""
-    known = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("user_id"))
-    wanted = _stream(spark, sf_dir).where("event_type = 'signup'").select("event_id", "user_id")
-    return _all_of(wanted.join(known, "user_id", "left_anti").select("event_id", "user_id"), "append")
+    known = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.lit("r").alias("repo"), F.col("o_custkey").alias("pr_number"))
+    wanted = _stream(spark, sf_dir).where("event_type = 'signup'").select(F.lit("r").alias("repo"), F.col("user_id").alias("pr_number"), "event_id")
+    return _all_of(events.unreviewed(wanted, known).select("event_id", F.col("pr_number").alias("user_id")), "append")
 
 
 @query()

@@ -30,33 +30,6 @@ def history3(spark, sf_dir):
     return _latest(spark, sf_dir).select("user_id", F.array_join(ids, ",").alias("history"), F.size("history").alias("n"))
 
 
-KPI_SQL = """count(*) AS total, count(*) FILTER (event_type = 'purchase') AS approved, count(*) FILTER (event_type = 'error') AS blocked,
-  count(*) FILTER (event_type IN ('purchase', 'error')) AS critical, round(coalesce(sum(value), 0), 2) AS total_cost"""
-
-
-def _kpis(rows, *keys):
-    is_ = lambda *names: F.count_if(F.col("event_type").isin(*names))
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("total"), is_("purchase").alias("approved"), is_("error").alias("blocked"), is_("purchase", "error").alias("critical"),
-        F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("total_cost"),
-    )
-
-
-@query(f"SELECT {KPI_SQL} FROM (SELECT * FROM events QUALIFY {LATEST_SQL} = 1)")
-def kpi_dashboard(spark, sf_dir):
-    return _kpis(_latest(spark, sf_dir, 1))
-
-
-@query(
-    f"""WITH l AS (SELECT * FROM events QUALIFY {LATEST_SQL} = 1), m AS (SELECT max(ts) AS now FROM events)
-    SELECT days, {KPI_SQL} FROM l, m, (VALUES (1), (7), (30)) d(days) WHERE ts >= now - to_days(days) GROUP BY days"""
-)
-def age_filter_kpi(spark, sf_dir):
-    now = table(spark, sf_dir, "events").agg(F.max("ts").alias("now"))  # one row
-    aged = _latest(spark, sf_dir, 1).crossJoin(F.broadcast(now)).withColumn("days", F.explode(F.array(F.lit(1), F.lit(7), F.lit(30))))
-    return _kpis(aged.where("ts >= now - make_dt_interval(days)"), "days")
-
-
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def keep_first_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
@@ -201,17 +174,6 @@ def inverted_index_capped(spark, sf_dir):
     return select.top_n(_index(spark, sf_dir), ["name"], 50, "doc_id", "line").select("name", "doc_id", "line")
 
 
-@query(
-    f"""WITH {TOKENS_SQL}, i AS (SELECT * FROM t WHERE name <> '' QUALIFY row_number() OVER (PARTITION BY name ORDER BY doc_id, line) <= 50),
-    w AS (SELECT DISTINCT unnest(string_split_regex(text, '[^A-Za-z0-9_]+')) AS name FROM benchmark)
-    SELECT name, count(*) AS total, min(doc_id) AS first_doc FROM i SEMI JOIN w USING (name) GROUP BY name"""
-)
-def index_search(spark, sf_dir):
-    index = select.top_n(_index(spark, sf_dir), ["name"], 50, "doc_id", "line")
-    wanted = table(spark, sf_dir, "benchmark").select(F.explode(lines.tokens(F.col("text"))).alias("name")).distinct()
-    return index.join(wanted, "name", "left_semi").groupBy("name").agg(F.count("*").alias("total"), F.min("doc_id").alias("first_doc"))
-
-
 #: Words as the operator takes them: letters, marks, digits and connectors of any script.
 UNICODE_WORDS = r"[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+"
 

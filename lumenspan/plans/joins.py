@@ -40,12 +40,6 @@ def rename_pairing(spark, sf_dir):
     return joins.paired(part.where("p_size <= 25"), part.where("p_size > 25"), ["p_type", "p_brand"], "p_partkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%' AND o_custkey IS NOT NULL)")
-def anti_unreviewed(spark, sf_dir):
-    seen = table(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(seen, "c_custkey", "left_anti").select("c_custkey")
-
-
 @query(
     """WITH c AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'), s AS (SELECT DISTINCT l_orderkey FROM lineitem SEMI JOIN c USING (l_partkey))
     SELECT o_orderkey FROM orders JOIN s ON o_orderkey = l_orderkey ORDER BY o_orderdate DESC, o_orderkey LIMIT 5"""
@@ -156,41 +150,6 @@ def _sets(spark, sf_dir):
     return items.groupBy(F.col("o_custkey").alias("k")).agg(own(1996).alias("a"), own(1997).alias("b"))
 
 
-@query(
-    SETS_SQL.format(a=1996, b=1997)
-    + """, k AS (SELECT DISTINCT o_custkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-    d AS (SELECT k, p, bool_or(s = 'a') AS ina, bool_or(s = 'b') AS inb FROM (SELECT k, p, 'a' AS s FROM a UNION ALL SELECT k, p, 'b' FROM b) GROUP BY ALL)
-    SELECT k, count(p) FILTER (inb AND NOT ina) AS added, count(p) FILTER (ina AND NOT inb) AS removed, count(p) FILTER (ina AND inb) AS modified FROM k LEFT JOIN d USING (k) GROUP BY k"""
-)
-def set_diff(spark, sf_dir):
-    size = lambda c: F.size(c).cast("long")
-    return _sets(spark, sf_dir).select(
-        "k", size(F.array_except("b", "a")).alias("added"), size(F.array_except("a", "b")).alias("removed"), size(F.array_intersect("a", "b")).alias("modified")
-    )
-
-
-@query(
-    SETS_SQL.format(a=1996, b=1997)
-    + """, x AS ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION (SELECT * FROM b EXCEPT SELECT * FROM a)), k AS (SELECT DISTINCT o_custkey AS k FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
-    SELECT k, coalesce(string_agg(lpad(p::VARCHAR, 2, '0'), ',' ORDER BY p), '') AS changed FROM k LEFT JOIN x USING (k) GROUP BY k"""
-)
-def sym_diff(spark, sf_dir):
-    both = F.array_union(F.array_except("a", "b"), F.array_except("b", "a"))
-    return _sets(spark, sf_dir).select("k", F.array_join(F.transform(F.sort_array(both), lambda x: F.lpad(x.cast("string"), 2, "0")), ",").alias("changed"))
-
-
-@query(
-    """WITH u AS (SELECT l_partkey % 100 AS k, l_linenumber, l_orderkey, l_returnflag, l_suppkey FROM lineitem)
-    SELECT k, count(*) AS n, arg_max(l_returnflag, (l_orderkey, l_linenumber)) FILTER (l_returnflag <> 'N') AS ddl, max(l_returnflag) FILTER (l_returnflag = 'N') AS dml FROM u GROUP BY k"""
-)
-def usage_labels(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey") % 100)
-    ddl = F.when(F.col("l_returnflag") != "N", F.struct("l_orderkey", "l_linenumber"))
-    return items.groupBy("k").agg(
-        F.count("*").alias("n"), F.max_by("l_returnflag", ddl).alias("ddl"), F.max(F.when(F.col("l_returnflag") == "N", F.col("l_returnflag"))).alias("dml")
-    )
-
-
 @query("SELECT p_brand AS feature_name, count(DISTINCT l_suppkey) AS repos, count(*) AS consumers FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def catalog_counts(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("feature_name"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenspan.functions import text as T
+from lumenspan.functions.workers import ship
 
 
 def front_matter(values: dict[str, Column]) -> Column:
@@ -14,12 +19,50 @@ def front_matter(values: dict[str, Column]) -> Column:
 
 
 def report_name(number: Column, title: Column, stamp: Column) -> Column:
-    return F.concat(F.lit("pr-"), number.cast("string"), F.lit("-"), T.slug(title), F.lit("-"), F.date_format(stamp, "yyyyMMdd-HHmmss"), F.lit(".md"))
+    """``pr-<number>-<slug>-<seconds>.md``."""
+    return F.concat(F.lit("pr-"), number.cast("string"), F.lit("-"), T.slug(title), F.lit("-"), F.unix_timestamp(stamp).cast("string"), F.lit(".md"))
+
+
+def review_text(row: dict[str, Column], body: Column) -> Column:
+    """A review's front matter, a blank line and its body."""
+    return F.concat(front_matter(row), F.lit("\n"), body)
+
+
+def evaluation_text(row: dict[str, Column], sections: dict[str, Column]) -> Column:
+    """An evaluation: front matter, and a ``##`` section for each text that isn't null or empty."""
+    parts = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"## {k}\n\n"), v, F.lit("\n"))) for k, v in sections.items()]
+    return F.concat(front_matter(row), F.lit("\n"), F.concat_ws("\n", *parts))
+
+
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The store that a path of Spark's names, and the path in it."""
+    if path.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pafs.LocalFileSystem() if path.startswith("/") else pafs.FileSystem.from_uri(path)[0], path if path.startswith("/") else pafs.FileSystem.from_uri(path)[1]
+
+
+def write_reports(reports: DataFrame, folder: str, repo: str = "repo", name: str = "name", text: str = "text") -> DataFrame:
+    """One file for each report, ``folder/<owner-repo>/<name>``; gives the paths when it is run.
+
+    The folder must be one that all executors share. A task that runs again writes the same files. Rows
+    with a null repository or name are left out, a null text is an empty file.
+    """
+    ship(reports.sparkSession)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = []
+            for owner, file, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                path = f"{folder.rstrip('/')}/{owner.replace('/', '-')}/{file}"
+                store, place = filesystem(path)
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(place, compression=None) as out:
+                    out.write((content or "").encode())
+                paths.append(path)
+            yield pa.RecordBatch.from_pydict({"path": pa.array(paths, pa.string())})
 
-def write_reports(reports: DataFrame, path: str, repo: str = "repo") -> None:
-    """Report texts as rows, in a folder for each repository."""
-    reports.write.mode("append").partitionBy(repo).json(path)
+    known = reports.where(F.col(repo).isNotNull() & F.col(name).isNotNull())
+    return known.select(F.col(repo).cast("string"), F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(run, "path string")
 
 
 def write_store(rows: DataFrame, path: str) -> None:
