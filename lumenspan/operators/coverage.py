@@ -65,7 +65,7 @@ def covered(changed: DataFrame, files: DataFrame) -> DataFrame:
 
 def _test_words(files: DataFrame) -> DataFrame:
     tests = files.where(test_file(F.col("path")))
-    return tests.select(F.explode(F.array_distinct(F.split("content", r"(?U)\W+"))).alias("word")).distinct()
+    return tests.select(F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word")).distinct()
 
 
 def uncovered(symbols: DataFrame, files: DataFrame) -> DataFrame:

@@ -114,7 +114,7 @@ def job_changes(texts: DataFrame, files: DataFrame, key: str = "pr_id") -> DataF
 
 def consumers(terms: DataFrame, lines: DataFrame, n: int = LIMITS.feature_consumers) -> DataFrame:
     """``(term, path, line, snippet, role)``: the first ``n`` lines with each term as a word, any case."""
-    words = lines.select("path", "line", "content", F.explode(F.array_distinct(F.split(F.lower("content"), r"(?U)\W+"))).alias("_word")).where(F.char_length("_word") >= 3)
+    words = lines.select("path", "line", "content", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(?U)\w{3,}"), F.lit(0)))).alias("_word"))
     wanted = terms.select("term", F.lower("term").alias("_word")).where(F.char_length("term") >= 3).distinct()
     first = top_n(words.join(wanted, "_word"), ["term"], n, "path", "line")
     return first.select("term", "path", "line", F.substring(T.strip(F.col("content")), 1, 120).alias("snippet"), role(F.col("path").cast("string")).alias("role"))

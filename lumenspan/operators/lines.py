@@ -112,4 +112,4 @@ def sections(lines: DataFrame, *keys: str, level: str = "###") -> DataFrame:
 
 def tokens(text: Column) -> Column:
     """Distinct words of ASCII letters, digits and underscores."""
-    return F.array_remove(F.array_distinct(F.split(text, "[^A-Za-z0-9_]+")), "")
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("[A-Za-z0-9_]+"), F.lit(0)))  # much faster than to split
