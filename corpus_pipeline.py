@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenspan.functions.workers import spread
 from lumenspan.llm import decontam, langid, lines, pieces, shared, simhash
 
 #: Least score of a predicted language; words of a shingle and bits that near copies may differ in.
@@ -81,7 +82,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for n, (_, stage) in enumerate(STAGES[:-1]):
         with shared.scope(spark):  # what a stage wrote for itself goes, and what it read of the stage before
             docs = shared.cut(stage(spark, docs, sf_dir), f"stage-{n + 1}", keep=True)
