@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lumenspan.functions.workers import spread
 from lumenspan.llm import decontam, langid, lines, maintext, pieces, pq, shared, simhash, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table, in as many partitions as there are tasks at once: what follows works hard on each row."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
