@@ -18,6 +18,7 @@ document by the block starts without touching other blocks.
 from __future__ import annotations
 
 import io
+import json
 import re
 import uuid
 import zlib
@@ -209,7 +210,17 @@ class ByteLevelEncoder:
         self.library = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
         special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
-        self.odd = "|".join([r"^[ \n]", r"[ \n]\z", r"[ \n][ \n]", f"[{ODD}]", *special])
+        odd = "|".join([r"^[ \n]", r"[ \n]\z", r"[ \n][ \n]", f"[{ODD}]", *special])
+        #: What a text is encoded as a whole for; any text with a tokenizer of another kind.
+        self.odd = odd if self._by_units() else ""
+
+    def _by_units(self) -> bool:
+        """Whether words are told apart as units are: no normaliser, byte level with its own pattern and without a space put before."""
+        own = json.loads(self.library.to_str())
+        model, cut = own["model"], own["pre_tokenizer"] or {}
+        plain = own["normalizer"] is None and not own.get("truncation") and not own.get("padding")
+        byte_level = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+        return plain and byte_level and model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges")
 
     def _ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all units one after another, and how many each has."""
@@ -303,7 +314,11 @@ def _encoder(path: str) -> ByteLevelEncoder:
 
 def read_tokens(manifest: DataFrame, id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Documents of the files of a manifest: ``id_col``, ``start`` (ids of all documents before it),
-    ``n_tokens``, ``ids_crc32`` (of the ids as little-endian u32), and ``ids`` where asked for."""
+    ``n_tokens``, ``ids_crc32`` (of the ids as little-endian u32), and ``ids`` where asked for.
+
+    Documents come as they were written: null ids are null, an empty or null text has its end id only,
+    repeated rows are repeated, a very long one is one row. An empty manifest gives no rows.
+    """
     files = manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

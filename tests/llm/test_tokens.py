@@ -79,3 +79,20 @@ def test_write_and_read(spark):
         at += r.n_tokens
     empty = tokens.write_tokens(docs.limit(0), shared.scratch(spark, "tokens"), PATH)
     assert tokens.read_tokens(empty).collect() == []
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+
+    plain = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = ["a b, c", "Hello World again", "", "über, alles x"]
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}, {"pre_tokenizer": {"type": "WhitespaceSplit"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(plain | change))
+        encoder = tokens.ByteLevelEncoder(str(path))
+        assert encoder.odd == ""
+        for t in texts:
+            assert encoder.encode(t).tolist() == encoder.library.encode(t, add_special_tokens=False).ids
+    assert tokens.ByteLevelEncoder(public_tokenizers.path("byte_bpe_50k.json")).odd
