@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import re
 import uuid
 import zlib
@@ -205,6 +206,8 @@ class ByteLevelEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        # Tasks run one to a core already; the library's own threads would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -286,7 +289,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
         encoder, writer, end = None, None, np.array([end_id], np.uint32)
         part = TaskContext.get().partitionId()
         path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.pfor"
-        for whole in batches:
+        for whole in _gathered(batches):
             for batch in shared.slices(whole, 1, SLICE_BYTES):
                 if writer is None and batch.num_rows:
                     store, place = filesystem(path)
@@ -302,6 +305,19 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
     return shared.cut(shared.arrow(ordered, run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together to about ``SLICE_BYTES``: the more text at once, the fewer units are new in it."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 _encoders: dict[str, ByteLevelEncoder] = {}
 
 
