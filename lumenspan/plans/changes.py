@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenspan.functions import text as T
-from lumenspan.operators import audit, coverage, features, findings, graph, index, lineage, lines, names, pipelines, reports, rules, schema_changes, similar, symbols
+from lumenspan.operators import audit, coverage, features, findings, graph, index, lineage, lines, names, pipelines, rules, schema_changes, similar, symbols
 from lumenspan.plans import fixtures as X
 from lumenspan.plans.shared import query, table
 from lumenspan.schemas import COMMENTS
@@ -26,36 +26,11 @@ def texts(spark):
     return lines.changed_texts(cursor(spark))
 
 
-@query(
-    """SELECT * FROM (VALUES ('jobs/load_feature.py', 1, 'added', NULL, 2, 'age: float = 0.0'), ('jobs/load_feature.py', 1, 'removed', 2, NULL, 'age: int = 0'),
-    ('jobs/load_feature.py', 1, 'removed', 3, NULL, 'old_metric: float = 0.0'), ('jobs/load_feature.py', 1, 'added', NULL, 3, 'new_score: float = 1.0'),
-    ('jobs/load_feature.py', 1, 'added', NULL, 4, 'api_key = "abcdefgh12345678"'), ('jobs/load_feature.py', 1, 'removed', 5, NULL, '-- not a header'),
-    ('jobs/load_feature.py', 1, 'added', NULL, 6, '++ not a header either'), ('jobs/load_feature.py', 2, 'added', NULL, 22, '    data = pickle.loads(raw)'))
-    v(file, hunk_id, change, old_line, new_line, text)"""
-)
-def diff_cursor(spark, sf_dir):
-    return cursor(spark).where("file = 'jobs/load_feature.py' and change <> 'context'").drop("pr_id", "pos")
-
-
 @query("SELECT * FROM (VALUES ('jobs/load_feature.py', 'SEC-001', 4), ('jobs/load_feature.py', 'SEC-030', 22)) v(file, rule_id, line)")
 def diff_rules(spark, sf_dir):
     return rules.scan_diff(cursor(spark)).select("file", "rule_id", "line")
 
 
-@query("SELECT * FROM (VALUES ('Summary', 'Text' || chr(10) || '```' || chr(10) || '### not a heading' || chr(10) || '```'), ('Files', '- a.py' || chr(10) || '- b.py')) v(heading, body)")
-def fence_sections(spark, sf_dir):
-    text = spark.createDataFrame([("r", X.REVIEW)], "path string, text string")
-    return lines.sections(lines.explode_lines(text, "text", "path"), "path").select("heading", "body")
-
-
-@query("SELECT * FROM (VALUES (1, 'x', 2), (2, 'y', 1), (3, NULL, NULL)) v(id, first, n)")
-def list_or_object(spark, sf_dir):
-    rows = [(1, '[{"name": "x"}, {"name": "z"}]'), (2, '```json\n{"name": "y"}\n```'), (3, "broken")]
-    parsed = spark.createDataFrame(rows, "id int, text string").withColumn("a", T.list_or_object(F.col("text"), "struct<name: string>"))
-    one = F.get("a", F.lit(0))["name"]
-    return parsed.select("id", one.alias("first"), F.when(one.isNotNull(), F.size("a")).alias("n"))
-
-
 @query(
     """SELECT * FROM (VALUES ('app/models.py', 'pydantic_field', 'email', 'User', 'added'), ('app/models.py', 'pydantic_field', 'tags', 'User', 'added'), ('app/models.py', 'dataclass_field', 'left', 'Point', 'added'),
     ('db/schema.sql', 'sql_column', 'name', 'users', 'removed'), ('db/schema.sql', 'sql_column', 'full_name', 'users', 'added'), ('db/schema.sql', 'sql_column', 'born', 'users', 'added'),
@@ -105,14 +80,28 @@ def symbol_diff(spark, sf_dir):
     return symbols.symbol_changes(*[symbols.python_symbols(s) for s in sides]).select("qualified", "kind")
 
 
-@query()
+CODE_SQL = """WITH c AS (SELECT s_suppkey AS k, 'n' || s_nationkey AS repo, 'src/s' || lpad(s_suppkey::VARCHAR, 6, '0') || '.py' AS file, s_suppkey % 7 AS g FROM supplier)"""
+
+
+def supplier_code(spark, sf_dir):
+    """A Python file of each supplier, in a repository of its nation."""
+    k, g = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 7).cast("string")
+    lines_ = [("def f_", k, "(a, b):"), ("    return g_", g, "(a)"), ("",), ("class C_", k, ":"), ("    def m(self):",), ("        return f_", k, "(1, 2)"), ("",)]
+    text = F.concat_ws("\n", *[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in line]) for line in lines_])
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("repo"), F.lit("head").alias("ref"), F.col("s_suppkey").cast("int").alias("ord"),
+        F.concat(F.lit("src/s"), F.lpad(k, 6, "0"), F.lit(".py")).alias("path"), text.alias("content"), F.lit("blob").alias("type"),
+    )
+
+
+@query(f"{CODE_SQL} SELECT file, 1 AS line, 2 AS end_line, 'f_' || k AS qualified FROM c UNION ALL SELECT file, 4, 6, 'C_' || k FROM c UNION ALL SELECT file, 5, 6, 'C_' || k || '.m' FROM c")
 def py_symbols(spark, sf_dir):
-    return symbols.python_symbols(code(spark)).select("file", "line", "end_line", "qualified", "body_hash")
+    return symbols.python_symbols(supplier_code(spark, sf_dir)).select("file", "line", "end_line", "qualified")
 
 
-@query()
+@query(f"{CODE_SQL} SELECT file, 'g_' || g AS name, 2 AS line, 'return g_' || g || '(a)' AS snippet FROM c UNION ALL SELECT file, 'f_' || k, 6, 'return f_' || k || '(1, 2)' FROM c")
 def py_calls(spark, sf_dir):
-    return symbols.python_calls(code(spark)).select("file", "name", "line", "snippet")
+    return symbols.python_calls(supplier_code(spark, sf_dir)).select("file", "name", "line", "snippet")
 
 
 @query("SELECT * FROM (VALUES ('kept', 'tests/test_service.py', 7)) v(name, file, line)")
@@ -121,9 +110,14 @@ def symbol_callers(spark, sf_dir):
     return symbols.callers(symbols.python_calls(code(spark)), names).select("name", "file", "line")
 
 
-@query()
+@query(
+    f"""{CODE_SQL}, i AS (SELECT repo, 'f_' || k AS name, file, 1 AS line, 'py.def' AS kind, 'def f_' || k || '(a, b):' AS snippet FROM c
+      UNION ALL SELECT repo, 'C_' || k, file, 4, 'py.def', 'class C_' || k || ':' FROM c UNION ALL SELECT repo, 'm', file, 5, 'py.def', 'def m(self):' FROM c
+      UNION ALL SELECT repo, 'g_' || g, file, 2, 'py.call', 'return g_' || g || '(a)' FROM c UNION ALL SELECT repo, 'f_' || k, file, 6, 'py.call', 'return f_' || k || '(1, 2)' FROM c)
+    SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY repo, name ORDER BY file, line, kind) <= 50"""
+)
 def symbol_index(spark, sf_dir):
-    return index.build(code(spark))
+    return index.build(supplier_code(spark, sf_dir)).select("repo", "name", "file", "line", "kind", "snippet")
 
 
 @query("SELECT * FROM (VALUES ('orders', 1), ('shop.users', 2), ('users', 2), ('stg_orders', 1), ('App', 1), ('useState', 1)) v(name, total)")
@@ -155,22 +149,6 @@ def similar_groups(spark, sf_dir):
     return found.select("review_id", "ord", "leader", F.array_join("also", ",").alias("also"))
 
 
-def _reviews(spark):
-    made = [("7", 1, "✅ Looks okay", "LOW"), ("7", 3, "❌ Please revisit", "CRITICAL"), ("8", 2, "💬 Needs attention", "HIGH"), ("7", 2, "?", "LOW"), ("7", 4, "✅ Approve", "LOW")]
-    rows = [(f"s/{pr}-{day}.md", X.REVIEW.format(pr=pr, day=day, verdict=v, risk=r)) for pr, day, v, r in made] + [("s/x.md", "no front matter")]
-    return reports.reviews(spark.createDataFrame(rows, "path string, text string").withColumn("mtime", F.lit("2024-06-01").cast("timestamp")))
-
-
-@query("SELECT * FROM (VALUES ('7', 'approve', 'LOW', 3), ('8', 'comment', 'HIGH', 1)) v(pr, verdict, risk, history)")
-def review_history(spark, sf_dir):
-    return reports.grouped_reviews(_reviews(spark)).select("pr", "verdict", "risk", F.size("history").alias("history"))
-
-
-@query("SELECT 2::BIGINT AS total, 1::BIGINT AS approved, 0::BIGINT AS blocked, 1::BIGINT AS comment, 1::BIGINT AS critical, 0.6::DOUBLE AS total_cost")
-def review_kpis(spark, sf_dir):
-    return reports.review_kpis(reports.grouped_reviews(_reviews(spark)))
-
-
 def _stream(spark, sf_dir):
     """The events table as a stream of its files."""
     source = f"{sf_dir}/events.parquet"
@@ -206,7 +184,14 @@ def unreviewed_stream(spark, sf_dir):
     return _all_of(events.unreviewed(wanted, known).select("event_id", F.col("pr_number").alias("user_id")), "append")
 
 
-@query()
+@query(
+    """WITH RECURSIVE c AS (SELECT user_id, floor(epoch(ts))::DOUBLE AS seconds, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts))) AS n FROM events),
+    r AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0::DOUBLE AS seconds, 0::DOUBLE AS wait, []::DOUBLE[] AS times FROM c
+      UNION ALL SELECT user_id, n, seconds, wait, (live || [seconds + wait])[-3:] FROM (
+        SELECT *, CASE WHEN len(live) >= 3 THEN greatest(0, live[len(live) - 2] + 21600 - seconds) ELSE 0 END::DOUBLE AS wait FROM (
+          SELECT c.user_id, c.n, c.seconds, list_filter(r.times, lambda x: x > c.seconds - 21600) AS live FROM r JOIN c ON c.user_id = r.user_id AND c.n = r.n + 1)))
+    SELECT user_id, seconds, wait FROM r WHERE n > 0"""
+)
 def call_limits(spark, sf_dir):
     """How long each event would wait if a user may make three calls in six hours."""
     calls = _stream(spark, sf_dir).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))

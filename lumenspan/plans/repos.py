@@ -222,3 +222,89 @@ def index_search(spark, sf_dir):
     places = capped.select(F.lit("all").alias("repo"), "name", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file"), "line", F.lit("word").alias("kind"), F.lit("").alias("snippet"))
     wanted = table(spark, sf_dir, "benchmark").select(F.explode(lines.tokens(F.col("text"))).alias("name")).distinct()
     return index.search(places, wanted).select("name", "total", F.col("matches")[0]["file"].cast("long").alias("first_doc"))
+
+
+DIFF_SQL = """WITH i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n,
+    CASE l_returnflag WHEN 'R' THEN 'removed' WHEN 'A' THEN 'added' ELSE 'context' END AS change,
+    CASE WHEN l_partkey % 5 = 0 THEN '-- part ' WHEN l_partkey % 5 = 1 THEN '++ part ' ELSE 'part ' END || l_partkey AS text FROM lineitem)"""
+
+
+@query(
+    f"""{DIFF_SQL} SELECT l_orderkey::VARCHAR AS pr_id, 'o/' || l_orderkey || '.sql' AS file, 1 AS hunk_id, change, text,
+      CASE WHEN change <> 'added' THEN 9 + count(*) FILTER (change <> 'added') OVER w END::INT AS old_line,
+      CASE WHEN change <> 'removed' THEN 19 + count(*) FILTER (change <> 'removed') OVER w END::INT AS new_line
+    FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY n)"""
+)
+def diff_cursor(spark, sf_dir):
+    """A diff of each order: its line items as added, removed and kept lines, some of which look like file headers."""
+    from pyspark.sql import Window
+
+    from lumenspan.operators import lines
+
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    kind, part = F.col("l_returnflag"), F.col("l_partkey")
+    sign = F.when(kind == "R", "-").when(kind == "A", "+").otherwise(" ")
+    text = F.concat(F.when(part % 5 == 0, "-- part ").when(part % 5 == 1, "++ part ").otherwise("part "), part.cast("string"))
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("n"), sign.alias("sign"), F.concat(sign, text, F.lit("\n")).alias("raw"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "raw"))), lambda x: x["raw"]), "")
+    grouped = items.groupBy("l_orderkey").agg(F.count_if(F.col("sign") != "+").alias("old"), F.count_if(F.col("sign") != "-").alias("new"), body.alias("body"))
+    name = F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".sql"))
+    head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name)
+    hunk = F.format_string("\n@@ -10,%d +20,%d @@\n", "old", "new")
+    diffs = grouped.select(F.col("l_orderkey").cast("string").alias("pr_id"), F.concat(head, hunk, "body").alias("diff"))
+    return lines.diff_cursor(lines.diff_lines(diffs)).drop("pos")
+
+
+@query(
+    """SELECT o_custkey, 'Order ' || o_orderkey AS heading, 'Status ' || o_orderstatus || chr(10) || '```' || chr(10) || '### fenced' || chr(10) || '```' || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || 'end' ELSE '' END AS body FROM orders"""
+)
+def fence_sections(spark, sf_dir):
+    from lumenspan.operators import lines
+
+    block = F.concat(_said("### Order ", "o_orderkey", "\nStatus ", "o_orderstatus", "\n```\n### fenced\n```\n"), F.when(F.col("o_orderkey") % 2 == 0, "end\n\n").otherwise("\n"))
+    text = _joined(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey", block)
+    return lines.sections(lines.explode_lines(text, "text", "o_custkey"), "o_custkey").select("o_custkey", "heading", "body")
+
+
+@query(
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'x' || event_id WHEN 1 THEN 'y' || event_id END AS first, CASE event_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 END AS n FROM events"""
+)
+def list_or_object(spark, sf_dir):
+    from lumenspan.functions import text as T
+
+    kind = F.col("event_id") % 3
+    text = F.when(kind == 0, _said('[{"name": "x', "event_id", '"}, {"name": "z"}]')).when(kind == 1, _said('```json\n{"name": "y', "event_id", '"}\n```')).otherwise("broken")
+    parsed = table(spark, sf_dir, "events").select("event_id", T.list_or_object(text, "struct<name: string>").alias("a"))
+    one = F.get("a", F.lit(0))["name"]
+    return parsed.select("event_id", one.alias("first"), F.when(one.isNotNull(), F.size("a")).alias("n"))
+
+
+SAVED_SQL = """WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'purchase' THEN 'approve' WHEN 'error' THEN 'request_changes' ELSE 'comment' END AS verdict,
+    CASE event_type WHEN 'error' THEN 'CRITICAL' ELSE 'LOW' END AS risk, (event_id % 100) / 100.0 AS cost FROM events),
+  l AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)"""
+
+
+def _saved(spark, sf_dir):
+    """Each event as a saved review of its user, and what is read from these."""
+    kind = F.col("event_type")
+    verdict = F.when(kind == "purchase", "✅ Looks okay").when(kind == "error", "❌ Please revisit").otherwise("💬 Needs attention")
+    rows = table(spark, sf_dir, "events").withColumn("said", verdict).withColumn("risk", F.when(kind == "error", "CRITICAL").otherwise("LOW")).withColumn("cents", F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
+    text = _said(
+        "---\nrepo: acme/shop\npr: ", "user_id", "\ntitle: Change ", "user_id", "\ndate: 2024-05-01 10:00 UTC\ntimestamp_utc: ", "event_id", "\ncost_usd: 0.", "cents",
+        "\nrequested_by: ann\n---\n## Code Review\n\n**Review:** ", "said", " &nbsp;·&nbsp; **Risk:** `", "risk", "`\n",
+    )
+    files = rows.select(_said("s/", "event_id", ".md").alias("path"), text.alias("text"), F.lit("2024-06-01").cast("timestamp").alias("mtime"))
+    return reports.grouped_reviews(reports.reviews(files))
+
+
+@query(f"{SAVED_SQL} SELECT user_id::VARCHAR AS pr, verdict, risk, (SELECT least(count(*), 3) FROM events x WHERE x.user_id = l.user_id)::INT AS history FROM l")
+def review_history(spark, sf_dir):
+    return _saved(spark, sf_dir).select("pr", "verdict", "risk", F.size("history").alias("history"))
+
+
+@query(
+    f"""{SAVED_SQL} SELECT count(*) AS total, count(*) FILTER (verdict = 'approve') AS approved, count(*) FILTER (verdict = 'request_changes') AS blocked, count(*) FILTER (verdict = 'comment') AS comment,
+    count(*) FILTER (risk = 'CRITICAL') AS critical, round(sum(cost)::DOUBLE, 2) AS total_cost FROM l"""
+)
+def review_kpis(spark, sf_dir):
+    return reports.review_kpis(_saved(spark, sf_dir))
