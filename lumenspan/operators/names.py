@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenspan.functions import text as T
 from lumenspan.operators import index as symbol_index
-from lumenspan.operators.select import priority_fill, top_n, until_over
+from lumenspan.operators.select import top_n, until_over
 from lumenspan.schemas import LIMITS
 
 # Names that say nothing, statements that name objects, and words in paths that call for an analysis.
@@ -74,8 +74,16 @@ def gates(changes: DataFrame, files: str = "files") -> DataFrame:
 
 
 def flow_files(files: DataFrame, n: int = 25, cap: int = 80_000, chars: int = 6_000) -> DataFrame:
-    """Files that tell how data flows, by pattern, with a sign of it near their beginning, up to a size."""
-    picked = priority_fill(files, [T.matches_glob(F.col("path"), [g]) for g in FLOW_GLOBS], n, ["ord"], ["repo"])
+    """Files that tell how data flows, by pattern, with a sign of it near their beginning, up to a size.
+
+    Patterns are taken in order until ``n`` files are found; all files of the last pattern taken are in.
+    """
+    rank = F.coalesce(*[F.when(T.matches_glob(F.col("path"), [g]), i) for i, g in enumerate(FLOW_GLOBS)])
+    ranked = files.withColumn("priority", rank).where("priority is not null")
+    upto = Window.partitionBy("repo").orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranked.groupBy("repo", "priority").agg(F.count("*").alias("_n"))  # a row for each pattern
+    taken = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).where(F.col("_before") < n).select("repo", "priority")
+    picked = ranked.join(taken, ["repo", "priority"], "left_semi")
     told = picked.where(F.substring("content", 1, 2000).rlike(FLOW_WORDS)).withColumn("chunk", F.substring("content", 1, chars))
     return until_over(told, ["repo"], ["priority", "ord"], F.char_length("chunk"), cap, strict=True)
 

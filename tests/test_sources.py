@@ -89,3 +89,22 @@ def test_within_and_merged(spark):
 
 def test_settled_tables_are_read_back(spark):
     assert scratch.settled(spark.range(5)).count() == 5
+
+
+def test_flow_files_take_whole_patterns(spark):
+    from lumenspan.operators import names
+
+    globs = names.FLOW_GLOBS
+    made = [g.replace("**/", "").replace("*", f"x{k}") for g in globs[:3] for k in range(20)]
+    rows = [("r", n, p, "spark read", "blob") for n, p in enumerate(dict.fromkeys(made))]
+    files = spark.createDataFrame(rows, "repo string, ord int, path string, content string, type string")
+    got = {r.path for r in names.flow_files(files, n=25).collect()}
+    first, want, n = {}, set(), 0
+    from fnmatch import fnmatch
+    for i, g in enumerate(globs):
+        if n >= 25:
+            break
+        own = [p for _, _, p, _, _ in rows if p not in want and (fnmatch(p, g) or fnmatch(p.split("/")[-1], g))]
+        want.update(own)
+        n += len(own)
+    assert got == want and len(got) >= 25
