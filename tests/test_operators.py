@@ -253,7 +253,9 @@ def test_reports(spark):
     assert [tuple(i) for i in fix] == [("HIGH", "a.py", "1-2", "Do it", "tip", "x = 1"), ("LOW", "b.py", None, "Other", None, None)]
     told = f(reports.verdict_of, "## Any Code Review 💬\nRisk: `HIGH`")
     assert tuple(told) == ("comment", "HIGH") and tuple(f(reports.verdict_of, "nothing")) == ("unknown", "UNKNOWN")
-    rows = queries._reviews(spark)
+    made = [("7", 1, "✅ Looks okay", "LOW"), ("7", 3, "❌ Please revisit", "CRITICAL"), ("8", 2, "💬 Needs attention", "HIGH"), ("7", 2, "?", "LOW"), ("7", 4, "✅ Approve", "LOW")]
+    files = [(f"s/{pr}-{day}.md", X.REVIEW.format(pr=pr, day=day, verdict=v, risk=r)) for pr, day, v, r in made] + [("s/x.md", "no front matter")]
+    rows = reports.reviews(spark.createDataFrame(files, "path string, text string").withColumn("mtime", F.lit("2024-06-01").cast("timestamp")))
     assert reports.filtered(rows, text="change 8").count() == 1 and reports.filtered(rows, verdict="approve").count() == 2
     assert reports.filtered(rows, days=1, now=F.lit(1714816800.0)).count() == 2
 
