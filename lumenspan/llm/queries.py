@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenspan.functions.workers import spread
-from lumenspan.llm import decontam, langid, lines, maintext, pieces, pq, shared, simhash, tokens, urls, warc
+from lumenspan.llm import counts, decontam, filters, langid, lines, maintext, pieces, pq, shared, simhash, tokens, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +88,16 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), urls.RULES)
 
 
+def op11_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has too many."""
+    return counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from the documents of each language, in every order."""
+    return filters.audit(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
@@ -99,12 +109,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_langid": op9_langid,
     "op10_urls": op10_urls,
+    "op11_counts": op11_counts,
+    "op12_filters": op12_filters,
 }
 
 ORACLES: dict[str, str] = {
     "op2_lines": lines.ORACLE,
     "op8_warc": warc.ORACLE,
     "op10_urls": urls.ORACLE,
+    "op12_filters": filters.ORACLE,
 }
 
 
