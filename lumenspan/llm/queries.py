@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenspan.functions.workers import spread
-from lumenspan.llm import counts, decontam, filters, langid, lines, maintext, pieces, pq, shared, simhash, tokens, urls, warc
+from lumenspan.llm import counts, decontam, filters, langid, lines, maintext, pieces, pq, shared, simhash, tokens, tries, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,6 +98,11 @@ def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.audit(_table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all conversations."""
+    return tries.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lines": op2_lines,
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_urls": op10_urls,
     "op11_counts": op11_counts,
     "op12_filters": op12_filters,
+    "op13_trie": op13_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -118,6 +124,7 @@ ORACLES: dict[str, str] = {
     "op8_warc": warc.ORACLE,
     "op10_urls": urls.ORACLE,
     "op12_filters": filters.ORACLE,
+    "op13_trie": tries.ORACLE,
 }
 
 
