@@ -9,6 +9,9 @@ from pyspark.sql import Column, functions as F
 # Line separators that end a line of text.
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 
+# White space of Unicode.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 # Secrets that are masked in texts, with what takes their place.
 SECRETS = (
     (r"ghp_[A-Za-z0-9]{20,}", "ghp_****"),
@@ -27,7 +30,7 @@ def to_lines(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:
@@ -180,10 +183,11 @@ def list_or_object(text: Column, element: str) -> Column:
 def front_matter(text: Column) -> Column:
     """The keys and values between ``---`` lines at the start, as a map; of equal keys the last."""
     body = F.regexp_extract(text, r"(?s)^---\n(.*?)\n---\n", 1)
-    pairs = F.filter(to_lines(body), lambda x: x.contains(":") & (strip(F.substring_index(x, ":", 1)) != ""))
-    keyed = F.transform(pairs, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), strip(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("v")))
-    last = F.filter(keyed, lambda p, i: ~F.exists(F.slice(keyed, i + 2, F.size(keyed)), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    pair = lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), strip(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("v"))
+    keyed = F.filter(F.transform(F.filter(to_lines(body), lambda x: x.contains(":")), pair), lambda p: p["k"] != "")
+    # Through a lambda's variable, so that the pairs are made once and not for each of them again.
+    last = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda q: q["k"] == p["k"]))
+    return F.element_at(F.transform(F.array(keyed), lambda ps: F.map_from_entries(last(ps))), 1)
 
 
 def hmac_sha256(body: Column, key: str) -> Column:

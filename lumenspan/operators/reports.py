@@ -30,10 +30,17 @@ def verdict_of(text: Column) -> Column:
     )
 
 
+def _read(files: DataFrame, **more: Column) -> DataFrame:
+    """``files`` with their front matter as ``fm``, and ``more``: each parsed once, whatever reads it later."""
+    # What a generator gives isn't put into the expressions that read it, nor are filters on it.
+    parsed = F.struct(T.front_matter(F.col("text")).alias("fm"), *[c.alias(n) for n, c in more.items()])
+    return files.select("*", F.explode(F.array(parsed)).alias("_parsed")).select("*", "_parsed.*").drop("_parsed")
+
+
 def reviews(files: DataFrame) -> DataFrame:
     """Review rows of ``(path, text, mtime)``; files without a ``repo`` in their front matter are left out."""
     fm, told, get = F.col("fm"), F.col("told"), lambda k: F.coalesce(F.col("fm")[k], F.lit(""))
-    rows = files.withColumn("fm", T.front_matter(F.col("text"))).withColumn("told", verdict_of(F.col("text"))).where(get("repo") != "")
+    rows = _read(files, told=verdict_of(F.col("text"))).where(get("repo") != "")
     two = get("repo").contains("/")
     return rows.select(
         get("repo").alias("repo"),
@@ -58,7 +65,7 @@ def reviews(files: DataFrame) -> DataFrame:
 def evaluations(files: DataFrame) -> DataFrame:
     """Evaluation rows of ``(path, text, mtime)``."""
     fm, get = F.col("fm"), lambda k: F.coalesce(F.col("fm")[k], F.lit(""))
-    rows = files.withColumn("fm", T.front_matter(F.col("text"))).where(get("repo") != "")
+    rows = _read(files).where(get("repo") != "")
     section = lambda name: F.nullif(F.regexp_extract("text", rf"(?s)## {name}\n\n(.+?)(?:\n\n##|\z)", 1), F.lit(""))
     summary = F.coalesce(section("Executive summary"), section("What this repo is"), F.lit("Repo evaluation"))
     return rows.select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenspan.functions.workers import spread
 from lumenspan.operators import features, findings, index, lineage, pipelines, reports, schema_changes, select, stores
 from lumenspan.plans.groups import LATEST_SQL, TOKENS_SQL, _index, _latest
 from lumenspan.plans.joins import SETS_SQL, _sets
@@ -288,7 +289,7 @@ def _saved(spark, sf_dir):
     """Each event as a saved review of its user, and what is read from these."""
     kind = F.col("event_type")
     verdict = F.when(kind == "purchase", "✅ Looks okay").when(kind == "error", "❌ Please revisit").otherwise("💬 Needs attention")
-    rows = table(spark, sf_dir, "events").withColumn("said", verdict).withColumn("risk", F.when(kind == "error", "CRITICAL").otherwise("LOW")).withColumn("cents", F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
+    rows = spread(table(spark, sf_dir, "events")).withColumn("said", verdict).withColumn("risk", F.when(kind == "error", "CRITICAL").otherwise("LOW")).withColumn("cents", F.lpad((F.col("event_id") % 100).cast("string"), 2, "0"))
     text = _said(
         "---\nrepo: acme/shop\npr: ", "user_id", "\ntitle: Change ", "user_id", "\ndate: 2024-05-01 10:00 UTC\ntimestamp_utc: ", "event_id", "\ncost_usd: 0.", "cents",
         "\nrequested_by: ann\n---\n## Code Review\n\n**Review:** ", "said", " &nbsp;·&nbsp; **Risk:** `", "risk", "`\n",
