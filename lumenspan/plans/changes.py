@@ -195,7 +195,8 @@ def unreviewed_stream(spark, sf_dir):
 def call_limits(spark, sf_dir):
     """How long each event would wait if a user may make three calls in six hours."""
     calls = _stream(spark, sf_dir).select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).cast("double").alias("seconds"))
-    return _all_of(events.limited(calls, most=3, window=6 * 3600), "append")
+    with events.rocksdb(spark):
+        return _all_of(events.limited(calls, most=3, window=6 * 3600), "append")
 
 
 def _folder(spark, path):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import contextlib
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from lumenspan.functions.workers import ship
 from lumenspan.schemas import EVENTS, LIMITS
@@ -37,26 +40,106 @@ def intake(requests: DataFrame, checkpoint: str, handle: Callable[[DataFrame, in
     return requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def limited(calls: DataFrame, key: str = "user_id", at: str = "seconds", most: int = LIMITS.search_calls, window: int = LIMITS.search_seconds) -> DataFrame:
-    """``(key, at, wait)``: how long each call must wait so that any window holds ``most`` calls.
+#: Seconds that times are moved by for the engine, whose watermark begins at 0 and takes all up to it for late;
+#: so times from 1902 to 2191 are in order.
+SHIFT = 1 << 31
+#: The state store that timers and lists of state need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
-    The state of a key is the times of its last ``most`` calls. Works on streams of calls.
-    """
-    ship(calls.sparkSession)
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        for frame in frames:
-            waits = []
-            for now in sorted(frame[at].tolist()):
-                times = [t for t in times if t > now - window]
-                wait = max(0.0, times[-most] + window - now) if len(times) >= most else 0.0
-                times = [*times, now + wait][-most:]
-                waits.append((name[0], now, wait))
-            yield pd.DataFrame(waits, columns=[key, at, "wait"])
-        state.update((times,))
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB; the session's setting comes back after."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _mark(at: float) -> int:
+    """The first millisecond of the engine's that isn't before a time."""
+    return math.ceil(at * 1000) + SHIFT * 1000
+
 
+class Limiter(StatefulProcessor):
+    """Lets a key make ``most`` calls in any ``window`` seconds, in the order of their times.
+
+    Calls wait in a buffer until the watermark has passed them: no earlier one can come then. A
+    timer stands at the first of the buffer; when it fires, all that the watermark has passed are taken in
+    order. What has been let through is kept as the times of the last ``most`` calls.
+    """
+
+    def __init__(self, key: str, at: str, most: int, window: float) -> None:
+        self.key, self.at, self.most, self.window = key, at, most, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", "at double")
+        self.passed = handle.getValueState("passed", "times array<double>")
+        self.first = handle.getValueState("first", "at double")
+
+    def _wait_for(self, at: float) -> None:
+        self.handle.registerTimer(_mark(at))
+        self.first.update((at,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        least = math.inf
+        for frame in rows:
+            times = frame[self.at].tolist()
+            self.pending.appendList([(t,) for t in times])
+            least = min([least, *times])
+        known = self.first.get()[0] if self.first.exists() else math.inf
+        if least < known:
+            if known < math.inf and _mark(known) != _mark(least):
+                self.handle.deleteTimer(_mark(known))
+            self._wait_for(least)
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        upto = timerValues.getCurrentWatermarkInMs() - SHIFT * 1000
+        held = sorted(row[0] for row in self.pending.get())
+        ready = bisect.bisect_right(held, upto, key=lambda t: t * 1000)
+        times = list(self.passed.get()[0]) if self.passed.exists() else []
+        waits = []
+        for now in held[:ready]:
+            wait = max(0.0, times[-self.most] + self.window - now) if len(times) >= self.most else 0.0
+            times = [*times, now + wait][-self.most :]
+            waits.append((key[0], now, wait))
+        if ready:
+            self.passed.update((times,))
+        if ready < len(held):
+            self.pending.put([(t,) for t in held[ready:]])
+            self._wait_for(held[ready])
+        else:
+            self.pending.clear()
+            self.first.clear()
+        if waits:
+            yield pd.DataFrame(waits, columns=[self.key, self.at, "wait"])
+
+    def close(self) -> None:
+        pass
+
+
+def limited(calls: DataFrame, key: str = "user_id", at: str = "seconds", most: int = LIMITS.search_calls, window: float = LIMITS.search_seconds, delay: str = "0 seconds") -> DataFrame:
+    """``(key, at, wait)``: how long each call of a stream must wait so that any window holds ``most`` calls.
+
+    Calls are taken in the order of ``at`` (seconds), however they are split over frames, batches and
+    files: one is given out once the watermark, ``delay`` behind the latest call, has passed it. A call
+    that comes later than that is dropped, and counted by the engine in ``numRowsDroppedByWatermark``;
+    choose ``delay`` as long as calls may be late. Calls of one time come out each, null times and keys
+    make no call. The state of a key is what waits and the times of its last ``most`` calls, so it doesn't
+    grow with the key's past. Start the stream within ``rocksdb``.
+    """
+    if not calls.isStreaming:
+        raise ValueError("calls are limited as they come in: read them as a stream")
+    ship(calls.sparkSession)
     kind = calls.schema[key].dataType.simpleString()
-    return calls.select(key, F.col(at).cast("double").alias(at)).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {at} double, wait double", "times array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+    own = calls.select(key, F.col(at).cast("double").alias(at)).where(F.col(at).isNotNull() & F.col(key).isNotNull())
+    timed = own.withColumn("_time", F.timestamp_micros(F.ceil(F.col(at) * 1_000_000).cast("long") + SHIFT * 1_000_000)).withWatermark("_time", delay)
+    return timed.groupBy(key).transformWithStateInPandas(Limiter(key, at, most, window), f"{key} {kind}, {at} double, wait double", "append", "eventTime")

@@ -1,5 +1,6 @@
 """Operators on small inputs against plain Python."""
 
+import json
 import random
 from collections import defaultdict
 
@@ -309,12 +310,62 @@ def test_event_intake(spark, tmp_path):
     assert seen == [1]
 
 
+def waits_of(spark, stream, marks):
+    got = []
+    with events.rocksdb(spark):
+        run = stream.writeStream.foreachBatch(lambda batch, n: got.extend(map(tuple, batch.collect()))).option("checkpointLocation", str(marks)).trigger(availableNow=True).start()
+        run.awaitTermination()
+    return sorted(got), run
+
+
+def brute_waits(calls, most, window):
+    out, passed = [], {}
+    for k, now in sorted(calls):
+        times = passed.setdefault(k, [])
+        wait = max(0.0, times[-most] + window - now) if len(times) >= most else 0.0
+        times.append(now + wait)
+        out.append((k, now, wait))
+    return sorted(out)
+
+
 def test_call_limit(spark, tmp_path):
-    spark.createDataFrame([(1, float(t)) for t in (0, 1, 2, 70)] + [(2, 5.0)], "user_id long, seconds double").coalesce(1).write.json(str(tmp_path / "calls"))
+    calls = [(1, float(t)) for t in (0, 1, 2, 70)] + [(2, 5.0)]
+    spark.createDataFrame([*calls, (None, 3.0), (2, None)], "user_id long, seconds double").coalesce(1).write.json(str(tmp_path / "calls"))
     stream = spark.readStream.schema("user_id long, seconds double").json(str(tmp_path / "calls"))
-    run = events.limited(stream, most=2, window=60).writeStream.format("memory").queryName("waits").outputMode("append").trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert {(r.user_id, r.seconds): r.wait for r in spark.table("waits").collect()} == {(1, 0.0): 0.0, (1, 1.0): 0.0, (1, 2.0): 58.0, (1, 70.0): 0.0, (2, 5.0): 0.0}
+    got, _ = waits_of(spark, events.limited(stream, most=2, window=60), tmp_path / "marks")
+    assert got == [(1, 0.0, 0.0), (1, 1.0, 0.0), (1, 2.0, 58.0), (1, 70.0, 0.0), (2, 5.0, 0.0)]
+    assert events._PROVIDER not in spark.conf.getAll or spark.conf.get(events._PROVIDER) != events.ROCKSDB
+    with pytest.raises(ValueError, match="stream"):
+        events.limited(spark.createDataFrame(calls, "user_id long, seconds double"))
+
+
+@pytest.mark.parametrize("per_frame", [3, 10_000])
+def test_call_limit_is_the_same_however_calls_are_split(spark, tmp_path, per_frame):
+    rng = random.Random(7)
+    calls = [(k, round(rng.uniform(0, 500), 4)) for k in (1, 1, 1, 2, 3) for _ in range(200)] + [(9, 100.0)] * 7
+    rng.shuffle(calls)
+    for part in range(4):  # each file is a batch; the calls of a key are in all of them, in no order
+        lines = [json.dumps({"user_id": k, "seconds": t}) for k, t in calls[part::4]]
+        (tmp_path / "calls").mkdir(exist_ok=True)
+        (tmp_path / "calls" / f"{part}.json").write_text("\n".join(lines))
+    stream = spark.readStream.schema("user_id long, seconds double").option("maxFilesPerTrigger", 1).json(str(tmp_path / "calls"))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, per_frame)
+    try:
+        got, run = waits_of(spark, events.limited(stream, most=3, window=60, delay="600 seconds"), tmp_path / "marks")
+    finally:
+        spark.conf.set(name, before)
+    assert len([p for p in run.recentProgress if p["numInputRows"]]) == 4 and got == []  # all within the delay still wait
+    # A call much later lets all of them out; one that comes after that is late.
+    (tmp_path / "calls" / "later.json").write_text(json.dumps({"user_id": 4, "seconds": 5000.0}))
+    got, _ = waits_of(spark, events.limited(stream, most=3, window=60, delay="600 seconds"), tmp_path / "marks")
+    assert got == brute_waits(calls, 3, 60)
+    (tmp_path / "calls" / "late.json").write_text(json.dumps({"user_id": 1, "seconds": 7.0}))
+    (tmp_path / "calls" / "z.json").write_text(json.dumps({"user_id": 1, "seconds": 9000.0}))
+    got, run = waits_of(spark, events.limited(stream, most=3, window=60, delay="600 seconds"), tmp_path / "marks")
+    dropped = sum(s["numRowsDroppedByWatermark"] for p in run.recentProgress for s in p["stateOperators"])
+    assert got == [(4, 5000.0, 0.0)] and dropped == 1
 
 
 def test_audit_pairs():
