@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumenspan.functions.automaton import holds
 from lumenspan.operators.select import keep_first
 
 
@@ -52,22 +53,12 @@ def paired(removed: DataFrame, added: DataFrame, keys: Sequence[str], order: str
 def within(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], text: Column, word: str) -> DataFrame:
     """``(keys, candidate columns)``: each row with every candidate whose word its text holds.
 
-    Words have few lengths, which are collected; each text gives its distinct pieces of these lengths
-    and meets the words by equality, so no pair is made that doesn't fit. An empty word is in every
-    text that isn't null; null words and texts fit nothing.
+    An automaton of all words goes over each text once, in time that grows with the text and its hits;
+    candidates then meet the words that were found by equality. An empty word is in every text that
+    isn't null; null words and texts fit nothing.
     """
-    lengths = [r[0] for r in candidates.where(F.col(word).isNotNull()).select(F.char_length(word)).distinct().collect()]
-    whole = F.col("_text")
-
-    def pieces_of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(F.char_length(whole) - (n - 1), F.lit(1)))
-        cut = F.array_distinct(F.transform(places, lambda i: F.substring(whole, i, F.lit(n))))
-        return F.when(F.char_length(whole) >= n, cut) if n else F.array(F.lit(""))
-
-    pieces = [pieces_of(n) for n in lengths]
-    empty = F.array().cast("array<string>")
-    cut = rows.select(*keys, text.alias("_text")).where("_text is not null").select(*keys, F.explode(F.flatten(F.array(empty, *[F.coalesce(p, empty) for p in pieces]))).alias("_piece"))
-    return cut.join(candidates.withColumnRenamed(word, "_piece"), "_piece").withColumnRenamed("_piece", word)
+    found = holds(rows.select(*keys, text.alias("_text")), candidates, keys, "_text", word)
+    return found.join(candidates, word)
 
 
 def first_within(rows: DataFrame, candidates: DataFrame, keys: Sequence[str], text: Column, word: str, order: str) -> DataFrame:

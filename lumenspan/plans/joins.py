@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lumenspan.operators import graph, joins, select, stores
-from lumenspan.plans.shared import query, table
+from lumenspan.plans.shared import documents, query, table
 
 
 @query(
@@ -73,6 +73,18 @@ def theta_substring(spark, sf_dir):
     return joins.first_within(parts, nations, ["p_partkey"], F.lower("p_name"), "w", "n_nationkey").select("p_partkey", "n_name")
 
 
+@query(
+    """WITH w AS (SELECT lower(substr(n_name, 1, 3)) AS word FROM nation UNION SELECT substr(p_name, 1, 4) FROM part)
+    SELECT word, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last FROM documents d JOIN w ON contains(lower(d.text), word) GROUP BY 1"""
+)
+def words_in_texts(spark, sf_dir):
+    """How many documents hold the beginning of a nation's or a part's name anywhere in their text."""
+    nations = table(spark, sf_dir, "nation").select(F.lower(F.substring("n_name", 1, 3)).alias("word"))
+    words = nations.union(table(spark, sf_dir, "part").select(F.substring("p_name", 1, 4))).distinct()
+    found = joins.within(documents(spark, sf_dir).select("doc_id", "text"), words, ["doc_id"], F.lower("text"), "word")
+    return found.groupBy("word").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
 def _edges(spark, sf_dir):
     """A graph with a hub, a cycle and a loop: regions, nations, suppliers, customers."""
     nation, key = table(spark, sf_dir, "nation"), lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))

@@ -1,8 +1,11 @@
 import json
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from lumenspan.functions import automaton
 from lumenspan.operators import joins, lineage, reports
 from lumenspan.sources import landed, scratch, sinks
 
@@ -87,6 +90,26 @@ def test_within_and_merged(spark):
     assert sorted((r.object, r.operation, r.upstream, r.uses) for r in lineage.merged(uses).collect()) == [("A", "CREATE", ["x", "y", "z"], 3), ("B", "READ", [], 1)]
 
 
+@pytest.mark.parametrize("shard_chars", [40, 4_000_000])
+def test_words_in_texts(spark, shard_chars):
+    rng = random.Random(4)
+    texts = [(i, None if i == 3 else "".join(rng.choices("abc é漢", k=rng.randint(0, 60))), i % 5) for i in range(200)] + [(7, "aaa", 1)] * 2
+    words = [("".join(rng.choices("abc é漢", k=rng.randint(1, 4))),) for _ in range(150)] + [("",), (None,), ("a",), ("aa",), ("aaaa",)]
+    rows = spark.createDataFrame(texts, "i int, t string, k int")
+    got = automaton.holds(rows, spark.createDataFrame(words * 2, "w string"), ["k", "i"], "t", "w", shard_chars)
+    want = [(k, i, w) for i, t, k in texts for w in {w for (w,) in words if w is not None and t is not None and w in t}]
+    assert got.columns == ["k", "i", "w"] and sorted(map(tuple, got.collect())) == sorted(want)
+    assert automaton.holds(rows.limit(0), spark.createDataFrame(words, "w string"), ["i"], "t", "w").collect() == []
+
+
+def test_long_texts_and_many_lengths_take_time_by_their_size(spark):
+    text = "lorem ipsum dolor sit amet " * 40_000
+    words = [(text[i : i + n],) for i in range(20) for n in range(1, 200, 3)]
+    began = time.perf_counter()
+    got = joins.within(spark.createDataFrame([(1, text)], "i int, t string"), spark.createDataFrame(words, "w string").distinct(), ["i"], F.col("t"), "w")
+    assert got.count() == len(set(words)) and time.perf_counter() - began < 60
+
+
 def test_settled_tables_are_read_back(spark):
     assert scratch.settled(spark.range(5)).count() == 5
 
