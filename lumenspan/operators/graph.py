@@ -34,6 +34,32 @@ def search(edges: DataFrame, starts: DataFrame, depth: int, mode: str = "downstr
     return seen.where("hop > 0")
 
 
+#: Names of a frontier that are sent to a source at most; a wider one is joined with the whole source.
+ASKED_NAMES = 10_000
+
+
+def search_source(source: DataFrame, starts: DataFrame, depth: int, mode: str = "downstream", child: str = "OBJ", parent: str = "REFERENCED_OBJECT_NAME", asked: int = ASKED_NAMES) -> DataFrame:
+    """``search`` over edges that stay in their source: each hop asks it for the frontier's names alone.
+
+    The names, ``asked`` at most, are a filter on the source, which a source with pushdown (a database,
+    ``lumenspan_pages``) answers without giving the rest; a wider frontier takes the source as a whole.
+    Names must be in upper case in the source. The result is that of ``search``.
+    """
+    a, b = (child, parent) if mode == "upstream" else (parent, child)
+    seen = settled(starts.select(F.upper("start").alias("start")).where("start is not null").distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hop")))
+    frontier = seen
+    for hop in range(1, depth + 1):
+        names = [r.node for r in frontier.select("node").distinct().limit(asked + 1).collect()]
+        if not names:
+            break
+        rows = source.where(F.col(a).isin(names)) if len(names) <= asked else source
+        steps = rows.select(F.upper(a).alias("node"), F.upper(b).alias("next")).where("node is not null and next is not null").distinct()
+        reached = frontier.join(steps, "node").select("start", F.col("next").alias("node")).distinct()
+        frontier = settled(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        seen = seen.unionByName(frontier)
+    return seen.where("hop > 0")
+
+
 def roots(edges: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
     """Parents that are never children; all parents if there is none such."""
     parents = edges.select(F.col(parent).alias("node")).distinct()
