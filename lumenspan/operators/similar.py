@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lumenspan.functions.workers import ship
@@ -67,19 +69,27 @@ def group_similar(comments: DataFrame) -> DataFrame:
     ``also`` names the other places of a leader's group.
     """
     ship(comments.sparkSession)
+    key = ["review_id", "severity", "category"]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ord", kind="stable").reset_index(drop=True)
-        first = leaders(rows.comment.fillna("").tolist())
-        place = [f"{f}:{r}" if r else f or "" for f, r in zip(rows.file, rows.line_range, strict=True)]
+    def one(rows: list[tuple]) -> Iterator[tuple]:
+        first = leaders([r[6] or "" for r in rows])
         also = defaultdict(list)
         for n, k in enumerate(first):
             if n != k:
-                also[k].append(place[n])
-        return pd.DataFrame({"review_id": rows.review_id, "ord": rows.ord, "leader": [rows.ord[k] for k in first], "also": [also.get(n, []) for n in range(len(rows))]})
+                file, lines = rows[n][4:6]
+                also[k].append(f"{file}:{lines}" if lines else file or "")
+        for n, k in enumerate(first):
+            yield rows[n][0], rows[n][3], rows[k][3], also.get(n, [])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        found = (x for _, group in groupby(rows, key=lambda r: r[:3]) for x in one(list(group)))
+        while part := list(islice(found, 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["review_id", "ord", "leader", "also"])
 
-    keyed = comments.select("review_id", F.lower("severity").alias("severity"), F.coalesce("category", F.lit("")).alias("category"), "ord", "file", "line_range", "comment")
-    return keyed.groupBy("review_id", "severity", "category").applyInPandas(one, "review_id string, ord int, leader int, also array<string>")
+    keyed = comments.select("review_id", F.lower("severity").alias("severity"), F.coalesce("category", F.lit("")).alias("category"), F.col("ord").cast("int").alias("ord"), "file", "line_range", "comment")
+    # Groups are many and small: a task goes through its sorted rows instead of calling Python for each.
+    return keyed.repartition(*key).sortWithinPartitions(*key, "ord").mapInArrow(run, "review_id string, ord int, leader int, also array<string>")
 
 
 def merged(comments: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Queries on code, diffs, jobs and reports, over literal inputs, and on events as a stream."""
+"""Queries on code, diffs and jobs, which Spark makes of the tables' rows, and on events as a stream."""
 
 from __future__ import annotations
 
@@ -6,13 +6,28 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions import text as T
 from lumenspan.operators import audit, coverage, features, findings, graph, index, lineage, lines, names, pipelines, rules, schema_changes, similar, symbols
-from lumenspan.plans import fixtures as X
-from lumenspan.plans.shared import query, table
+from lumenspan.functions.workers import spread
+from lumenspan.plans import fixtures as X, made
+from lumenspan.plans.shared import SEVERITY_SQL, query, severity, table
 from lumenspan.schemas import COMMENTS
 from lumenspan.sources import scratch
 from lumenspan.streaming import events
 
 
+CODE_SQL = """WITH c AS (SELECT s_suppkey AS k, 'n' || s_nationkey AS repo, 'src/s' || lpad(s_suppkey::VARCHAR, 6, '0') || '.py' AS file, s_suppkey % 7 AS g FROM supplier)"""
+
+
+def supplier_code(spark, sf_dir):
+    """A Python file of each supplier, in a repository of its nation."""
+    k, g = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 7).cast("string")
+    lines_ = [("def f_", k, "(a, b):"), ("    return g_", g, "(a)"), ("",), ("class C_", k, ":"), ("    def m(self):",), ("        return f_", k, "(1, 2)"), ("",)]
+    text = F.concat_ws("\n", *[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in line]) for line in lines_])
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("repo"), F.lit("head").alias("ref"), F.col("s_suppkey").cast("int").alias("ord"),
+        F.concat(F.lit("src/s"), F.lpad(k, 6, "0"), F.lit(".py")).alias("path"), text.alias("content"), F.lit("blob").alias("type"),
+    )
+
+
 def cursor(spark):
     return lines.diff_cursor(lines.diff_lines(spark.createDataFrame([("p1", X.DIFF)], "pr_id string, diff string")))
 
@@ -26,72 +41,72 @@ def texts(spark):
     return lines.changed_texts(cursor(spark))
 
 
-@query("SELECT * FROM (VALUES ('jobs/load_feature.py', 'SEC-001', 4), ('jobs/load_feature.py', 'SEC-030', 22)) v(file, rule_id, line)")
+@query(f"{made.SQL} SELECT 'jobs/load_feature_' || k || '.py' AS file, 'SEC-001' AS rule_id, 4 AS line FROM s WHERE o = 1 UNION ALL SELECT 'jobs/load_feature_' || k || '.py', 'SEC-030', 22 FROM s")
 def diff_rules(spark, sf_dir):
-    return rules.scan_diff(cursor(spark)).select("file", "rule_id", "line")
+    return rules.scan_diff(made.cursor(spark, sf_dir)).select("file", "rule_id", "line")
 
 
 @query(
-    """SELECT * FROM (VALUES ('app/models.py', 'pydantic_field', 'email', 'User', 'added'), ('app/models.py', 'pydantic_field', 'tags', 'User', 'added'), ('app/models.py', 'dataclass_field', 'left', 'Point', 'added'),
-    ('db/schema.sql', 'sql_column', 'name', 'users', 'removed'), ('db/schema.sql', 'sql_column', 'full_name', 'users', 'added'), ('db/schema.sql', 'sql_column', 'born', 'users', 'added'),
-    ('db/schema.sql', 'sql_column', 'note', 'orders', 'removed')) v(file, kind, name, parent, change_type)"""
+    f"""{made.SQL} SELECT CASE n WHEN 1 THEN 'app/models_' WHEN 2 THEN 'app/models_' ELSE 'db/schema_' END || k || CASE WHEN n <= 2 THEN '.py' ELSE '.sql' END AS file,
+      ['pydantic_field', 'dataclass_field', 'sql_column', 'sql_column', 'sql_column', 'sql_column'][n] AS kind,
+      ['email_' || g, 'left', 'name_' || g, 'full_name_' || g, 'born', 'note'][n] AS name,
+      ['User_' || k, 'Point_' || k, 'users_' || k, 'users_' || k, 'users_' || k, 'orders_' || g][n] AS parent,
+      ['added', 'added', 'removed', 'added', 'added', 'removed'][n] AS change_type FROM s, range(1, 7) r(n)"""
 )
 def schema_diff(spark, sf_dir):
-    return schema_changes.schema_changes(cursor(spark)).select("file", "kind", "name", "parent", "change_type")
+    return schema_changes.schema_changes(made.cursor(spark, sf_dir)).select("file", "kind", "name", "parent", "change_type")
 
 
-@query("SELECT 'nightly' AS job_name, 'modified' AS change_type, false AS fail_flag, true AS schedule_changed, 'publish' AS tasks_added, true AS cluster_changed")
+@query(f"{made.SQL} SELECT 'nightly_' || k AS job_name, 'modified' AS change_type, false AS fail_flag, g <> 1 AS schedule_changed, 'publish_' || k AS tasks_added, true AS cluster_changed FROM s")
 def job_changes(spark, sf_dir):
-    found = pipelines.job_changes(texts(spark), code(spark)).where("job_name = 'nightly'")
+    found = pipelines.job_changes(made.texts(spark, sf_dir), made.code(spark, sf_dir, "jobs/"))
     return found.select("job_name", "change_type", "fail_flag", "schedule_changed", F.array_join("tasks_added", ",").alias("tasks_added"), "cluster_changed")
 
 
-@query("SELECT * FROM (VALUES ('nightly', 'nightly.publish', 'jobs/nightly.yml', 'silent_cascade'), ('nightly', 'report.render', 'jobs/report.yml', 'silent_cascade'), ('nightly', 'report', 'jobs/report.yml', 'silent_cascade')) v(upstream, downstream, downstream_file, risk)")
+@query(
+    f"""{made.SQL} SELECT 'nightly_' || k AS upstream, ['nightly_' || k || '.publish_' || k, 'report_' || k || '.render_' || k, 'report_' || k][n] AS downstream,
+      ['jobs/nightly_', 'jobs/report_', 'jobs/report_'][n] || k || '.yml' AS downstream_file, 'silent_cascade' AS risk FROM s, range(1, 4) r(n)"""
+)
 def job_risks(spark, sf_dir):
-    files = code(spark).where("path like 'jobs/%'")
-    return pipelines.dependency_risks(pipelines.job_changes(texts(spark), files), pipelines.dependencies(files), files).drop("pr_id")
+    files = made.code(spark, sf_dir, "jobs/")
+    return pipelines.dependency_risks(pipelines.job_changes(made.texts(spark, sf_dir), files), pipelines.dependencies(files), files).drop("pr_id")
 
 
-@query("SELECT * FROM (VALUES ('age', 'type_changed', 'int', 'float'), ('new_score', 'added', NULL, NULL), ('old_metric', 'removed', NULL, NULL)) v(column_name, change_type, old_type, new_type)")
+@query(
+    f"""{made.SQL} SELECT 's' || k AS pr_id, ['age_' || k, 'new_score_' || g, 'old_metric_' || g][n] AS column_name, ['type_changed', 'added', 'removed'][n] AS change_type,
+      ['int', NULL, NULL][n] AS old_type, ['float', NULL, NULL][n] AS new_type FROM s, range(1, 4) r(n)"""
+)
 def feature_changes(spark, sf_dir):
-    return features.column_changes(cursor(spark)).select("column_name", "change_type", "old_type", "new_type")
+    return features.column_changes(made.cursor(spark, sf_dir)).select("pr_id", "column_name", "change_type", "old_type", "new_type")
 
 
 @query(
-    """SELECT * FROM (VALUES ('RAW.ORDERS', 'READ', 3), ('RAW.CUSTOMERS', 'READ', 1), ('MART.SALES', 'CREATE', 3), ('MART.AUDIT', 'READ', 2), ('OLD_SALES', 'DROP', 1), ('MART.REPORT', 'WRITE', 2)) v(object, operation, uses)"""
+    f"""{made.SQL} SELECT upper(object) AS object, operation, count(*)::INT AS uses FROM (
+      SELECT 'raw.orders_' || k AS object, 'READ' AS operation FROM s UNION ALL SELECT 'raw.customers', 'READ' FROM s
+      UNION ALL SELECT 'mart.sales_' || g, 'CREATE' FROM s UNION ALL SELECT 'old_sales_' || k, 'DROP' FROM s) GROUP BY ALL"""
 )
 def usage_merge(spark, sf_dir):
-    merged = lineage.merged(lineage.usages(code(spark).where("path like 'etl/%' or path like 'conf/%'")))
+    merged = lineage.merged(lineage.usages(made.code(spark, sf_dir, "etl/")))
     return merged.select("object", "operation", F.col("uses").cast("int").alias("uses"))
 
 
-@query("SELECT * FROM (VALUES ('MART.SALES', 'CREATE', 'ORDERS'), ('OLD_SALES', 'DROP', ''), ('RAW.ORDERS', 'READ', '')) v(object, operation, upstream)")
+@query(
+    f"""{made.SQL} SELECT DISTINCT upper(object) AS object, operation, upstream FROM (
+      SELECT 'mart.sales_' || g AS object, 'CREATE' AS operation, 'CUSTOMERS' AS upstream FROM s UNION ALL SELECT 'old_sales_' || k, 'DROP', '' FROM s UNION ALL SELECT 'raw.customers', 'READ', '' FROM s)"""
+)
 def usage_filter(spark, sf_dir):
-    edges = spark.createDataFrame([("SALES", "ORDERS")], "OBJ string, REFERENCED_OBJECT_NAME string")
-    full = graph.enriched(lineage.usages(code(spark).where("path = 'etl/sales.sql'")), edges)
+    some = made.suppliers(spark, sf_dir)
+    edges = some.select(made.filled("SALES_{g}").alias("OBJ"), F.lit("CUSTOMERS").alias("REFERENCED_OBJECT_NAME")).distinct()
+    full = graph.enriched(lineage.usages(made.code(spark, sf_dir, "etl/")), edges)
     return lineage.shown(lineage.merged(full)).select("object", "operation", F.array_join("upstream", ",").alias("upstream"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('kept', 'body_changed'), ('fetch', 'sig_changed'), ('new_name', 'renamed'), ('Store', 'body_changed'), ('Store.load', 'added'), ('gone', 'removed')) v(qualified, kind)"""
+    f"""{made.SQL} SELECT 'src/s_' || k || '.py' AS file, ['kept_' || k, 'fetch', 'new_' || k, 'Store', 'Store.load', 'gone'][n] AS qualified,
+      ['body_changed', 'sig_changed', 'renamed', 'body_changed', 'added', 'removed'][n] AS kind FROM s, range(1, 7) r(n)"""
 )
 def symbol_diff(spark, sf_dir):
-    sides = [spark.createDataFrame([("shop", ref, "s.py", text)], "repo string, ref string, path string, content string") for ref, text in (("base", X.BASE), ("head", X.HEAD))]
-    return symbols.symbol_changes(*[symbols.python_symbols(s) for s in sides]).select("qualified", "kind")
-
-
-CODE_SQL = """WITH c AS (SELECT s_suppkey AS k, 'n' || s_nationkey AS repo, 'src/s' || lpad(s_suppkey::VARCHAR, 6, '0') || '.py' AS file, s_suppkey % 7 AS g FROM supplier)"""
-
-
-def supplier_code(spark, sf_dir):
-    """A Python file of each supplier, in a repository of its nation."""
-    k, g = F.col("s_suppkey").cast("string"), (F.col("s_suppkey") % 7).cast("string")
-    lines_ = [("def f_", k, "(a, b):"), ("    return g_", g, "(a)"), ("",), ("class C_", k, ":"), ("    def m(self):",), ("        return f_", k, "(1, 2)"), ("",)]
-    text = F.concat_ws("\n", *[F.concat(*[F.lit(x) if isinstance(x, str) else x for x in line]) for line in lines_])
-    return table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("repo"), F.lit("head").alias("ref"), F.col("s_suppkey").cast("int").alias("ord"),
-        F.concat(F.lit("src/s"), F.lpad(k, 6, "0"), F.lit(".py")).alias("path"), text.alias("content"), F.lit("blob").alias("type"),
-    )
+    return symbols.symbol_changes(*[symbols.python_symbols(s) for s in made.sides(spark, sf_dir)]).select("file", "qualified", "kind")
 
 
 @query(f"{CODE_SQL} SELECT file, 1 AS line, 2 AS end_line, 'f_' || k AS qualified FROM c UNION ALL SELECT file, 4, 6, 'C_' || k FROM c UNION ALL SELECT file, 5, 6, 'C_' || k || '.m' FROM c")
@@ -104,10 +119,13 @@ def py_calls(spark, sf_dir):
     return symbols.python_calls(supplier_code(spark, sf_dir)).select("file", "name", "line", "snippet")
 
 
-@query("SELECT * FROM (VALUES ('kept', 'tests/test_service.py', 7)) v(name, file, line)")
+@query(f"{CODE_SQL} SELECT 'f_' || k AS name, file, 6 AS line FROM c UNION ALL SELECT 'g_' || g, file, 2 FROM c WHERE g < 3")
 def symbol_callers(spark, sf_dir):
-    names = spark.createDataFrame([("kept",), ("nothing",)], "name string")
-    return symbols.callers(symbols.python_calls(code(spark)), names).select("name", "file", "line")
+    """Who calls each supplier's function and the first three shared ones."""
+    number = F.col("s_suppkey")
+    some = F.array(F.concat(F.lit("f_"), number.cast("string")), F.concat(F.lit("g_"), F.least(number % 7, F.lit(2)).cast("string")))
+    names = table(spark, sf_dir, "supplier").select(F.explode(some).alias("name")).distinct()
+    return symbols.callers(symbols.python_calls(supplier_code(spark, sf_dir)), names).select("name", "file", "line")
 
 
 @query(
@@ -120,32 +138,54 @@ def symbol_index(spark, sf_dir):
     return index.build(supplier_code(spark, sf_dir)).select("repo", "name", "file", "line", "kind", "snippet")
 
 
-@query("SELECT * FROM (VALUES ('orders', 1), ('shop.users', 2), ('users', 2), ('stg_orders', 1), ('App', 1), ('useState', 1)) v(name, total)")
+@query(
+    f"""{CODE_SQL} SELECT repo, name, least(count(*), 50)::INT AS total FROM (SELECT repo, 'g_' || g AS name FROM c UNION ALL SELECT repo, 'm' FROM c UNION ALL SELECT repo, 'f_' || k FROM c UNION ALL SELECT repo, 'f_' || k FROM c) GROUP BY ALL"""
+)
 def symbol_search(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in ("orders", "shop.users", "users", "stg_orders", "App", "useState", "call", "inner")], "name string")
-    return index.search(index.build(code(spark)), names).select("name", F.col("total").cast("int").alias("total"))
+    number = F.col("s_suppkey")
+    some = F.array(F.lit("m"), F.lit("nobody"), F.concat(F.lit("g_"), (number % 7).cast("string")), F.concat(F.lit("f_"), number.cast("string")))
+    names = table(spark, sf_dir, "supplier").select(F.explode(some).alias("name")).distinct()
+    return index.search(index.build(supplier_code(spark, sf_dir)), names).select("repo", "name", F.col("total").cast("int").alias("total"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('ci/deploy.yml', 3, 'CicdDependencyChecker'), ('ci/deploy.yml', 1, 'HardcodedEmailChecker'), ('jobs/nightly.yml', 8, 'CicdDependencyChecker'), ('lib/bad.py', 1, 'IntOverflowChecker'),
-    ('lib/bad.py', 4, 'MissingErrorHandlerChecker'), ('lib/bad.py', 4, 'MissingErrorHandlerChecker'), ('lib/bad.py', 6, 'HardcodedSecretChecker')) v(file, line, checker)"""
+    f"""{made.SQL} SELECT 'ci/deploy_' || k || '.yml' AS file, 1 AS line, 'HardcodedEmailChecker' AS checker FROM s
+      UNION ALL SELECT 'jobs/nightly_' || k || '.yml', 8, 'CicdDependencyChecker' FROM s UNION ALL SELECT 'lib/bad_' || k || '.py', 1, 'IntOverflowChecker' FROM s
+      UNION ALL SELECT 'lib/bad_' || k || '.py', 4, 'MissingErrorHandlerChecker' FROM s, range(2) UNION ALL SELECT 'lib/bad_' || k || '.py', 6, 'HardcodedSecretChecker' FROM s WHERE o = 1"""
 )
 def file_audit(spark, sf_dir):
-    return audit.audit(code(spark)).select("file", "line", "checker")
+    return audit.audit(made.code(spark, sf_dir)).select("file", "line", "checker")
 
 
-@query("SELECT * FROM (VALUES ('app/service.py', true), ('app/orphan.py', false)) v(path, covered)")
+@query(f"{made.SQL} SELECT 'app/service_' || k || '.py' AS path, o = 1 OR g = 3 AS covered FROM s")
 def test_coverage(spark, sf_dir):
-    changed = spark.createDataFrame([("app/service.py",), ("app/orphan.py",), ("tests/test_service.py",), ("README.md",)], "path string")
-    return coverage.covered(changed, code(spark))
+    changed = made.suppliers(spark, sf_dir).select(F.explode(F.array(made.filled("app/service_{k}.py"), made.filled("tests/test_service_{k}.py"), F.lit("README.md"))).alias("path"))
+    return coverage.covered(changed, made.code(spark, sf_dir))
 
 
 test_coverage.__test__ = False
 
 
-@query("SELECT * FROM (VALUES ('r1', 1, 1, 'b.sql'), ('r1', 2, 1, ''), ('r1', 3, 3, 'd.py:1'), ('r1', 4, 3, ''), ('r1', 5, 5, ''), ('r2', 1, 1, '')) v(review_id, ord, leader, also)")
+_SAID = (
+    "Uses CREATE OR REPLACE TABLE and loses grants of object", "Function name is unclear to readers who come later", "Missing index makes joins slow beyond millions",
+    "Please log exceptions instead of swallowing them", "Timezone arithmetic breaks whenever clocks change",
+)
+
+
+@query(
+    f"""WITH o AS (SELECT o_custkey::VARCHAR AS review_id, o_orderkey::INT AS ord, {SEVERITY_SQL} AS severity, o_orderstatus AS category, o_orderkey % 5 AS said, 'f' || o_orderkey || '.py' AS file FROM orders),
+      l AS (SELECT *, min(ord) OVER (PARTITION BY review_id, severity, category, said) AS leader FROM o)
+    SELECT review_id, ord, leader, CASE WHEN ord = leader THEN coalesce((SELECT string_agg(x.file, ',' ORDER BY x.ord) FROM l x WHERE x.review_id = l.review_id AND x.leader = l.ord AND x.ord <> l.ord), '') ELSE '' END AS also FROM l"""
+)
 def similar_groups(spark, sf_dir):
-    found = similar.group_similar(spark.createDataFrame(list(X.COMMENTS), COMMENTS))
+    """Each order as a comment of its customer's review; those that say the same meet."""
+    said = F.get(F.array(*map(F.lit, _SAID)), (F.col("o_orderkey") % 5).cast("int"))
+    key = F.col("o_orderkey").cast("string")
+    comments = spread(table(spark, sf_dir, "orders")).select(
+        F.col("o_custkey").cast("string").alias("review_id"), F.col("o_orderkey").cast("int").alias("ord"), F.concat(F.lit("f"), key, F.lit(".py")).alias("file"), F.lit(None).cast("string").alias("line_range"),
+        severity().alias("severity"), F.col("o_orderstatus").alias("category"), F.concat(said, F.lit(" "), key).alias("comment"), F.lit("").alias("suggestion"),
+    )
+    found = similar.group_similar(comments)
     return found.select("review_id", "ord", "leader", F.array_join("also", ",").alias("also"))
 
 
@@ -205,27 +245,29 @@ def _folder(spark, path):
 
 
 
-@query("SELECT * FROM (VALUES ('shop', 'F', 'fail', 2, 4)) v(repo, overall_grade, secrets_status, testability_score, maintainability_score)")
+@query(f"{made.SQL} SELECT 'r' || k AS repo, CASE WHEN o = 1 THEN 'F' ELSE 'C' END AS overall_grade, CASE WHEN o = 1 THEN 'fail' ELSE 'pass' END AS secrets_status, CASE WHEN o = 1 THEN 4 ELSE 2 END AS testability_score, 4 AS maintainability_score FROM s")
 def repo_ratings(spark, sf_dir):
-    found = audit.audit(code(spark))
-    counts = findings.severity_counts(found, "repo").join(findings.secrets_status(found.withColumn("title", F.lit("credential")), "repo"), "repo")
-    profile = counts.select(
-        "*", F.array(F.lit("app")).alias("top_level_dirs"), F.lit("").alias("readme_excerpt"), F.array(F.lit("dbt"), F.lit("docker")).alias("signals"),
-        F.lit(3).alias("audit_scanned"), F.lit(5).alias("audit_eligible"),
-    )
+    files = made.code(spark, sf_dir)
+    found = audit.audit(files)
+    counts = findings.severity_counts(found, "repo").join(findings.secrets_status(found.withColumn("title", F.when(F.col("checker") == "HardcodedSecretChecker", "credential").otherwise("other")), "repo"), "repo")
+    dirs = files.groupBy("repo").agg(F.collect_set(F.substring_index("path", "/", 1)).alias("top_level_dirs"))
+    profile = counts.join(dirs, "repo").select(
+        "*", F.lit("").alias("readme_excerpt"), F.array(F.lit("dbt"), F.lit("docker")).alias("signals"), F.lit(3).alias("audit_scanned"), F.lit(5).alias("audit_eligible")
+    )
     return findings.ratings(profile).select("repo", "overall_grade", "secrets_status", "testability_score", "maintainability_score")
 
 
-@query("SELECT 'ORDERS' AS name")
+@query(f"{made.SQL} SELECT 's' || k AS pr_id, 'ORDERS_' || g AS name FROM s")
 def changed_names(spark, sf_dir):
-    return names.changed_names(cursor(spark)).select("name")
+    return names.changed_names(made.cursor(spark, sf_dir)).select("pr_id", "name")
 
 
-@query("SELECT * FROM (VALUES ('tests/test_service.py', 1)) v(file, level)")
+@query(f"{made.SQL} SELECT 'tests/test_service_' || k || '.py' AS file, 1 AS level FROM s WHERE o = 1 UNION ALL SELECT 'web/use_' || k || '.py', 2 FROM s WHERE g = 3")
 def caller_files(spark, sf_dir):
-    changed = spark.createDataFrame([("shop", "app/service.py")], "repo string, file string")
-    wanted = spark.createDataFrame([("kept",)], "name string")
-    return names.caller_files(index.build(code(spark)), wanted, changed, 5).select("file", "level")
+    some = made.suppliers(spark, sf_dir)
+    changed = some.select(made.filled("r{k}").alias("repo"), made.filled("app/service_{k}.py").alias("file"))
+    found = names.caller_files(index.build(made.code(spark, sf_dir, "app/", "tests/", "web/", "checks/")), some.select(made.filled("kept_{k}").alias("name")), changed, 5)
+    return found.select("file", "level")
 
 
 @query("SELECT source, bool_or(contains(lower(source), 'src1')) AS schema, false AS pipeline, count(*) AS n FROM documents GROUP BY source")
@@ -234,9 +276,9 @@ def path_gates(spark, sf_dir):
     return grouped.select("source", names.gate(F.col("files"), ["src1"]).alias("schema"), names.gate(F.col("files"), names.GATES["pipeline"]).alias("pipeline"), "n")
 
 
-@query("SELECT * FROM (VALUES ('etl/report.py'), ('models/schema.yml')) v(path)")
+@query(f"{made.SQL} SELECT 'r' || k AS repo, 'models/core/report_' || k || '.sql' AS path FROM s")
 def flow_files(spark, sf_dir):
-    return names.flow_files(code(spark)).select("path")
+    return names.flow_files(made.code(spark, sf_dir)).select("repo", "path")
 
 
 @query(
