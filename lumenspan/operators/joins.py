@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenspan.functions.automaton import holds
+from lumenspan.operators.running import running
 from lumenspan.operators.select import keep_first
 
 
@@ -16,7 +17,8 @@ def touched(ranges: DataFrame, points: DataFrame, keys: Sequence[str], begin: st
     Points are numbered in order within their key and both sides meet on that key alone; the two
     running counts of points before begin and up to end tell whether one lies between, so no pair
     of a row and a point is ever made. Only distinct intervals and places go through the window; rows
-    meet the intervals that hold a point afterwards. Null keys and bounds hold nothing.
+    meet the intervals that hold a point afterwards. A key of any size is counted in segments. Null keys
+    and bounds hold nothing.
     """
     side = ranges.select(*keys, F.col(begin).alias("_b"), F.col(end).alias("_e")).distinct()
     marks = side.select(*keys, "_b", "_e", F.explode(F.array(F.struct(F.col("_b").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("_e").alias("at"), F.lit(2).alias("kind")))).alias("m"))
@@ -25,9 +27,8 @@ def touched(ranges: DataFrame, points: DataFrame, keys: Sequence[str], begin: st
     # Points of one place are one row with their number, so a key's window is as long as it has places.
     dots = points.groupBy(*keys, F.col(point).alias("_at")).agg(F.count("*").alias("_n"))
     dots = dots.select(*keys, "_at", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_b"), F.lit(None).cast(marks.schema["_e"].dataType).alias("_e"), "_n")
-    running = Window.partitionBy(*keys).orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    counted = marks.unionByName(dots).withColumn("_n", F.sum("_n").over(running)).where("_kind <> 1")
-    pair = counted.groupBy(*keys, "_b", "_e").agg(F.max("_n").alias("_hi"), F.min("_n").alias("_lo")).where("_hi > _lo")
+    counted = running(marks.unionByName(dots), keys, ["_at", "_kind"], {"_upto": F.col("_n")}).where("_kind <> 1")
+    pair = counted.groupBy(*keys, "_b", "_e").agg(F.max("_upto").alias("_hi"), F.min("_upto").alias("_lo")).where("_hi > _lo")
     known = pair.select(*keys, F.col("_b").alias(begin), F.col("_e").alias(end))
     return ranges.join(known, [*keys, begin, end], "left_semi").select(ranges.columns)
 

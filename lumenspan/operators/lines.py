@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenspan.functions import text as T
+from lumenspan.operators.running import running, windowed
 
 
 def explode_lines(df: DataFrame, text_col: str, *keys: str, line: str = "line", content: str = "content") -> DataFrame:
@@ -17,35 +18,29 @@ def diff_lines(diffs: DataFrame, key: str = "pr_id", diff: str = "diff") -> Data
     return explode_lines(diffs, diff, key, line="pos", content="raw")
 
 
-def diff_cursor(lines: DataFrame, key: str = "pr_id") -> DataFrame:
+def diff_cursor(lines: DataFrame, key: str = "pr_id", split: bool = False) -> DataFrame:
     """``(key, pos, file, hunk_id, change, old_line, new_line, text)`` of the lines in hunks.
 
     ``change`` is added, removed or context. A hunk's header tells how many old and new lines it
     has, so a removed line that begins with ``--`` is told from a file header. Both sides are
-    numbered from the header; the window is one diff, never the whole table.
+    numbered from the header. What lines take over from those before them (file, header, lines seen) is
+    a window over the diff, or with ``split`` goes over segments of it, so that a diff of millions of
+    lines is many tasks.
     """
+    run = running if split else windowed
     raw = F.col("raw")
-    order = Window.partitionBy(key).orderBy("pos")
-    in_file = Window.partitionBy(key, "file_id").orderBy("pos")
-    in_hunk = Window.partitionBy(key, "file_id", "hunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     header = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     number = lambda n: F.regexp_extract(raw, header, n).try_cast("int")
-    marked = lines.withColumn("file_id", F.sum(F.when(raw.startswith("diff --git "), 1).otherwise(0)).over(order))
-    marked = marked.withColumn("is_hunk", raw.rlike(header)).withColumn("hunk_id", F.sum(F.when(F.col("is_hunk"), 1).otherwise(0)).over(in_file))
-    start = F.when(F.col("is_hunk"), F.struct(number(1).alias("old"), F.coalesce(number(2), F.lit(1)).alias("old_n"), number(3).alias("new"), F.coalesce(number(4), F.lit(1)).alias("new_n")))
-    name = F.when(raw.startswith("diff --git "), F.regexp_extract(raw, r"^diff --git a/.+ b/(.+)$", 1))
-    carried = marked.select(
-        key, "pos", "raw", "file_id", "hunk_id", "is_hunk",
-        F.last(name, True).over(in_file).alias("file"),
-        F.last(start, True).over(in_file).alias("start"),
-    )
+    marked = lines.withColumns({"is_file": raw.startswith("diff --git "), "is_hunk": raw.rlike(header)})
+    start = F.struct(number(1).alias("old"), F.coalesce(number(2), F.lit(1)).alias("old_n"), number(3).alias("new"), F.coalesce(number(4), F.lit(1)).alias("new_n"))
+    one = lambda c: F.when(F.col(c), 1).otherwise(0)
+    named = {"file": F.when(F.col("is_file"), F.regexp_extract(raw, r"^diff --git a/.+ b/(.+)$", 1))}
+    carried = run(marked, [key], ["pos"], {"file_id": one("is_file")}, named)
+    carried = run(carried, [key, "file_id"], ["pos"], {"hunk_id": one("is_hunk")}, {"start": F.when(F.col("is_hunk"), start)})
     body = carried.where(F.col("start").isNotNull() & ~F.col("is_hunk") & ~raw.startswith("\\"))
     sign = F.substring("raw", 1, 1)
-    counted = body.select(
-        "*",
-        F.coalesce(F.sum(F.when(sign == "+", 0).otherwise(1)).over(in_hunk), F.lit(0)).alias("old_seen"),
-        F.coalesce(F.sum(F.when(sign == "-", 0).otherwise(1)).over(in_hunk), F.lit(0)).alias("new_seen"),
-    )
+    seen = {"old_seen": F.when(sign == "+", 0).otherwise(1), "new_seen": F.when(sign == "-", 0).otherwise(1)}
+    counted = run(body, [key, "file_id", "hunk_id"], ["pos"], seen, before=True)
     inside = counted.where((F.col("old_seen") < F.col("start.old_n")) | (F.col("new_seen") < F.col("start.new_n")))
     change = F.when(sign == "+", "added").when(sign == "-", "removed").otherwise("context")
     return inside.select(
@@ -83,14 +78,13 @@ def import_lines(cursor: DataFrame) -> DataFrame:
     return cursor.where((F.col("change") != "removed") & F.col("text").rlike(r"^\s*(import\s+\w|from\s+[\w.]+\s+import\b)"))
 
 
-def kept_sections(lines: DataFrame, words: list[str], key: str = "pr_id", placeholder: str = "(no relevant changes)") -> DataFrame:
+def kept_sections(lines: DataFrame, words: list[str], key: str = "pr_id", placeholder: str = "(no relevant changes)", split: bool = False) -> DataFrame:
     """Of each diff, the sections whose header line has one of the words; a placeholder if none has."""
-    order = Window.partitionBy(key).orderBy("pos")
     header = F.when(F.col("raw").startswith("diff --git "), F.col("raw"))
     hit = F.lit(False)
     for w in words:
         hit = hit | F.lower("head").contains(w.lower())
-    kept = lines.withColumn("head", F.last(header, True).over(order))
+    kept = (running if split else windowed)(lines, [key], ["pos"], lasts={"head": header})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(hit, F.struct("pos", "raw")))), lambda x: x["raw"]), "\n")
     return kept.groupBy(key).agg(joined.alias("_text")).select(key, F.when(F.col("_text") == "", placeholder).otherwise(F.col("_text")).alias("text"))
 

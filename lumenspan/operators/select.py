@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lumenspan.functions import text as T
+from lumenspan.operators.running import numbered, running
 from lumenspan.schemas import LIMITS
 
 
@@ -39,33 +40,33 @@ def byte_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], size:
     """A ``status`` for each row: rows are taken while what was taken before is below the cap.
 
     ``file_cap`` beyond the first ``files`` rows, ``error`` for a null size, ``byte_cap``, else
-    ``truncated`` where the row alone is over ``file_cap`` and ``ok`` where not.
+    ``truncated`` where the row alone is over ``file_cap`` and ``ok`` where not. Rows are numbered in
+    segments, so a key may have any number; the bytes of its first ``files`` rows are a window.
     """
-    by = Window.partitionBy(*keys).orderBy(*order)
-    own = F.when(size.isNotNull(), F.least(size, file_cap if isinstance(file_cap, Column) else F.lit(file_cap)))
-    out = df.withColumn("_n", F.row_number().over(by)).withColumn("_own", F.when((F.col("_n") <= files), F.coalesce(own, F.lit(0))).otherwise(0))
-    before = F.coalesce(F.sum("_own").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    most = file_cap if isinstance(file_cap, Column) else F.lit(file_cap)
+    out = numbered(df.withColumns({"_size": size, "_most": most}), keys, order, "_n")
+    by = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.when(F.col("_size").isNotNull(), F.least("_size", "_most")), F.lit(0))
+    first = out.where(F.col("_n") <= files).withColumn("_before", F.coalesce(F.sum(own).over(by), F.lit(0)))
     status = (
-        F.when(F.col("_n") > files, "file_cap")
-        .when(size.isNull(), "error")
+        F.when(F.col("_size").isNull(), "error")
         .when(F.col("_before") >= cap, "byte_cap")
-        .when(size > (file_cap if isinstance(file_cap, Column) else F.lit(file_cap)), "truncated")
+        .when(F.col("_size") > F.col("_most"), "truncated")
         .otherwise("ok")
     )
-    return out.withColumn("_before", before).withColumn("status", status).drop("_n", "_own", "_before")
+    known = first.select(*df.columns, status.alias("status"))
+    return known.unionByName(out.where(F.col("_n") > files).select(*df.columns, F.lit("file_cap").alias("status")))
 
 
 def within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, cap: int) -> DataFrame:
-    """The rows before the first that would exceed the cap."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_sum", F.sum(size).over(by)).where(F.col("_sum") <= cap).drop("_sum")
+    """The rows before the first that would exceed the cap; a key of any size is summed in segments."""
+    return running(df, keys, order, {"_sum": size}).where(F.col("_sum") <= cap).drop("_sum")
 
 
 def until_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: Column, cap: int, strict: bool = False) -> DataFrame:
-    """Rows up to and with the one that goes over the cap (or, ``strict``, reaches it)."""
-    by = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.col("_sum"), F.lit(0))
-    return df.withColumn("_sum", F.sum(size).over(by)).where(before < cap if strict else before <= cap).drop("_sum")
+    """Rows up to and with the one that goes over the cap (or, ``strict``, reaches it), summed in segments."""
+    before = F.col("_sum")
+    return running(df, keys, order, {"_sum": size}, before=True).where(before < cap if strict else before <= cap).drop("_sum")
 
 
 # What repositories' scanners read, skip, and take first.

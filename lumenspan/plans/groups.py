@@ -91,7 +91,7 @@ def priority_fill(spark, sf_dir):
     SELECT doc_id, CASE WHEN n > 30 THEN 'file_cap' WHEN before >= 40000 THEN 'byte_cap' WHEN n_chars > 5000 THEN 'truncated' ELSE 'ok' END AS status FROM b"""
 )
 def byte_budget(spark, sf_dir):
-    return select.byte_budget(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.col("n_chars"), 40_000, 30, 5_000).select("doc_id", "status")
+    return select.byte_budget(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), 40_000, 30, 5_000).select("doc_id", "status")
 
 
 RUN_SQL = "sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND {} )"
@@ -99,17 +99,17 @@ RUN_SQL = "sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN U
 
 @query(f"SELECT doc_id FROM documents QUALIFY {RUN_SQL.format('CURRENT ROW')} <= 60000")
 def within_budget(spark, sf_dir):
-    return select.within_budget(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.col("n_chars"), 60_000).select("doc_id")
+    return select.within_budget(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), 60_000).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents QUALIFY coalesce({RUN_SQL.format('1 PRECEDING')}, 0) <= 60000")
 def until_over(spark, sf_dir):
-    return select.until_over(table(spark, sf_dir, "documents"), ["source"], ["doc_id"], F.col("n_chars"), 60_000).select("doc_id")
+    return select.until_over(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], F.col("n_chars"), 60_000).select("doc_id")
 
 
 @query(f"SELECT doc_id FROM documents WHERE lang = 'en' QUALIFY coalesce({RUN_SQL.format('1 PRECEDING')}, 0) < 60000")
 def until_reached(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "source", "n_chars")
     return select.until_over(docs, ["source"], ["doc_id"], F.col("n_chars"), 60_000, strict=True).select("doc_id")
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lumenspan.operators import lines
 from lumenspan.operators.running import numbered, running
 
 
@@ -38,3 +39,21 @@ def test_no_rows_and_several_keys(spark):
     df = spark.createDataFrame([(1, None, 1), (1, None, 2), (1, "x", 1), (2, "x", 1)], "a int, b string, at int")
     assert sorted((r.a, r.b or "", r.at, r.n) for r in numbered(df, ["a", "b"], ["at"]).collect()) == [(1, "", 1, 1), (1, "", 2, 2), (1, "x", 1, 1), (2, "x", 1, 1)]
     assert numbered(df.limit(0), ["a", "b"], ["at"]).collect() == []
+
+
+def test_one_diff_in_many_tasks(spark):
+    rng = random.Random(9)
+    raw = []
+    for f in range(40):
+        raw += [f"diff --git a/f{f}.py b/f{f}.py", f"--- a/f{f}.py", f"+++ b/f{f}.py"]
+        for h in range(rng.randint(0, 4)):
+            body = [rng.choice([" ", "+", "-"]) + rng.choice(["x = 1", "-- not a header", "++ nor this"]) for _ in range(rng.randint(1, 30))]
+            old, new = sum(b[0] != "+" for b in body), sum(b[0] != "-" for b in body)
+            raw += [f"@@ -{h * 50},{old} +{h * 50 + 3},{new} @@ def f():", *body]
+    rows = [("huge", n, text) for n, text in enumerate(raw)] + [("small", 0, "diff --git a/a b/a"), ("small", 1, "@@ -1 +1 @@"), ("small", 2, "-a"), ("small", 3, "+b")]
+    table = spark.createDataFrame(rows, "pr_id string, pos int, raw string")
+    whole, parts = lines.diff_cursor(table), lines.diff_cursor(table, split=True)
+    assert parts.columns == whole.columns
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 500
+    kept = [sorted(map(tuple, lines.kept_sections(table, ["f3"], split=s).collect())) for s in (False, True)]
+    assert kept[0] == kept[1]
