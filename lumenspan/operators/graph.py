@@ -69,13 +69,20 @@ def roots(edges: DataFrame, parent: str = "parent", child: str = "child") -> Dat
 
 
 def paths(edges: DataFrame, depth: int, parent: str = "parent", child: str = "child") -> DataFrame:
-    """``(path, cycle)`` from each root, up to ``depth`` edges; a node met again ends its path."""
-    steps = edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).distinct()
-    level = roots(edges, parent, child).select(F.array("node").alias("path"), F.lit(False).alias("cycle"))
+    """``(path, cycle)`` from each root, up to ``depth`` edges; a node met again ends its path.
+
+    Each level is written once, so the plan of a level is as long as that of the first, and the search
+    ends with the first level that has no path. Repeated edges count once; null ends are no edges.
+    """
+    steps = edges.select(F.col(parent).alias("_from"), F.col(child).alias("_to")).where("_from is not null and _to is not null").distinct()
+    steps = settled(steps)
+    level = settled(roots(steps, "_from", "_to").select(F.array("node").alias("path"), F.lit(False).alias("cycle")))
     out = level
     for _ in range(depth):
         grown = level.where("not cycle").join(steps, F.element_at("path", -1) == F.col("_from"))
-        level = grown.select(F.array_append("path", F.col("_to")).alias("path"), F.array_contains("path", F.col("_to")).alias("cycle"))
+        level = settled(grown.select(F.array_append("path", F.col("_to")).alias("path"), F.array_contains("path", F.col("_to")).alias("cycle")))
+        if level.isEmpty():
+            break
         out = out.union(level)
     return out
 

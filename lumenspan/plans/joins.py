@@ -129,6 +129,17 @@ def graph_roots(spark, sf_dir):
     return graph.roots(edges)
 
 
+@query(
+    f"""WITH RECURSIVE {EDGES_SQL}, r AS (SELECT DISTINCT parent AS node FROM e WHERE parent NOT IN (SELECT child FROM e)),
+    p AS (SELECT [node] AS path, false AS cycle FROM r UNION ALL SELECT list_append(path, child), list_contains(path, child) FROM p JOIN e ON e.parent = path[-1] WHERE NOT cycle AND len(path) <= 10)
+    SELECT array_to_string(path, '>') AS path, cycle FROM p"""
+)
+def graph_paths(spark, sf_dir):
+    """All paths of up to ten edges down from the regions, around the ring of nations."""
+    edges = _edges(spark, sf_dir).select(F.upper("OBJ").alias("child"), F.upper("REFERENCED_OBJECT_NAME").alias("parent"))
+    return graph.paths(edges, 10).select(F.array_join("path", ">").alias("path"), "cycle")
+
+
 @query(f"WITH {EDGES_SQL}, n AS (SELECT child AS name FROM e UNION SELECT parent FROM e) SELECT name FROM n WHERE contains(name, 'S1') ORDER BY name LIMIT 8")
 def similar_objects(spark, sf_dir):
     return graph.suggestions(_edges(spark, sf_dir), "db.schema.s1")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenspan.schemas import EDGES
+from lumenspan.sources.sinks import current
 
 PULLS = (
     "number int, title string, body string, state string, merged_at string, html_url string, user struct<login: string>, "
@@ -102,8 +103,12 @@ def report_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Dependency edges from JSON records, column names in any letter case; missing ones are null."""
-    raw = spark.read.option("multiLine", True).json(path)
+    """Dependency edges from JSON records, column names in any letter case; missing ones are null.
+
+    Of a versioned snapshot the current version.
+    """
+    version = current(spark, path)
+    raw = spark.read.json(version) if version else spark.read.option("multiLine", True).json(path)
     upper = raw.toDF(*[c.upper() for c in raw.columns])
     names = [x.split()[0] for x in EDGES.split(", ")]
     return upper.select(*[(F.col(c) if c in upper.columns else F.lit(None)).cast("string").alias(c) for c in names])
@@ -169,6 +174,6 @@ def jdbc_snapshot(spark: SparkSession, url: str, table: str, **options: str) ->
 
 
 def store(spark: SparkSession, path: str, schema: str, version: int | None = None) -> DataFrame:
-    """A keyed JSON store; broken records, and those of another schema version, are left out."""
-    rows = spark.read.schema(schema if version is None else f"{schema}, schema_version int").option("mode", "DROPMALFORMED").json(path)
+    """A keyed JSON store, its current version; broken records, and those of another schema version, are left out."""
+    rows = spark.read.schema(schema if version is None else f"{schema}, schema_version int").option("mode", "DROPMALFORMED").json(current(spark, path) or path)
     return rows if version is None else rows.where(F.col("schema_version") == version).drop("schema_version")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lumenspan.functions import text as T
 from lumenspan.functions.workers import ship
@@ -65,10 +68,59 @@ def write_reports(reports: DataFrame, folder: str, repo: str = "repo", name: str
     return known.select(F.col(repo).cast("string"), F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(run, "path string")
 
 
-def write_store(rows: DataFrame, path: str) -> None:
-    """A keyed store; it must not be the path that ``rows`` reads."""
-    rows.write.mode("overwrite").json(path)
+#: The file of a versioned folder that names its current version, and the versions that are kept for readers.
+MANIFEST, KEPT_VERSIONS = "CURRENT.manifest", 2
 
 
-def write_snapshot(edges: DataFrame, path: str) -> None:
-    edges.write.mode("overwrite").json(path)
+def _hadoop(spark: SparkSession, path: str):
+    """The file system and a maker of paths, as Spark itself reads and writes ``path``."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    at = lambda *parts: jvm.Path("/".join([path.rstrip("/"), *parts]))
+    return at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of the current version; null where ``path`` has no versions."""
+    store, at = _hadoop(spark, path)
+    if not store.exists(at(MANIFEST)):
+        return None
+    with contextlib.closing(store.open(at(MANIFEST))) as file:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+    return f"{path.rstrip('/')}/{json.loads(text)['folder']}"
+
+
+def write_version(rows: DataFrame, path: str, kept: int = KEPT_VERSIONS) -> str:
+    """Write ``rows`` as JSON in a new version below ``path`` and make it the current one; gives its folder.
+
+    The manifest is swapped by one rename once all is written: who reads meanwhile sees the version before,
+    and a write that fails leaves it current. ``rows`` may read the store itself. Versions older than the
+    last ``kept`` go, and what failed writes have left with them; one writer at a time.
+    """
+    spark = rows.sparkSession
+    store, at = _hadoop(spark, path)
+    before = current(spark, path)
+    number = int(before.rsplit("/v-", 1)[1].split("-")[0]) + 1 if before else 1
+    folder = f"v-{number:010d}-{uuid.uuid4().hex}"
+    rows.write.json(str(at(folder)))
+    with contextlib.closing(store.create(at(f"{MANIFEST}.{folder}"), True)) as file:
+        file.write(bytearray(json.dumps({"folder": folder, "version": number}).encode()))
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at().toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(at(f"{MANIFEST}.{folder}"), at(MANIFEST), options)
+    for status in store.listStatus(at()):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name != folder and int(name.split("-")[1]) <= number - kept:
+            store.delete(status.getPath(), True)
+    return str(at(folder))
+
+
+def write_store(rows: DataFrame, path: str) -> str:
+    """A keyed store, as a new version: readers of the one before aren't disturbed."""
+    return write_version(rows, path)
+
+
+def write_snapshot(edges: DataFrame, path: str) -> str:
+    """Dependency edges, as a new version."""
+    return write_version(edges, path)

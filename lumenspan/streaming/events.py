@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import bisect
 import contextlib
+import logging
 import math
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from lumenspan.functions.workers import ship
 from lumenspan.schemas import EVENTS, LIMITS
+from lumenspan.sources.sinks import filesystem
 
 # Actions that ask for a review.
 ACTIONS = ("opened", "synchronize", "reopened")
@@ -40,6 +46,63 @@ def intake(requests: DataFrame, checkpoint: str, handle: Callable[[DataFrame, in
     return requests.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def poll(start: Callable[[], StreamingQuery], every: float, rounds: int | None = None, stop: Callable[[], bool] = lambda: False) -> int:
+    """Start a run that ends by itself again and again, ``every`` seconds apart; gives how many failed.
+
+    ``start`` gives a query that takes what has come in (``intake``, ``post``). A run that fails is logged
+    and the next one goes on from its checkpoint. Ends after ``rounds``, or once ``stop`` says so.
+    """
+    failed = done = 0
+    while (rounds is None or done < rounds) and not stop():
+        begun = time.monotonic()
+        try:
+            start().awaitTermination()
+        except StreamingQueryException as error:
+            failed += 1
+            logging.getLogger(__name__).warning("a poll failed: %s", str(error).split("\n", 1)[0])
+        done += 1
+        if (rounds is None or done < rounds) and not stop():
+            time.sleep(max(0.0, every - (time.monotonic() - begun)))
+    return failed
+
+
+def post(requests: DataFrame, keys: Sequence[str], ledger: str, checkpoint: str, send: Callable[[dict, str], None]) -> StreamingQuery:
+    """Send each row of a stream once, by tasks, and stop when all that has come in is sent.
+
+    ``send`` gets a row and its idempotency key, the digest of the batch's number and the row's ``keys``.
+    What has been sent is noted at once in ``ledger``, a folder that executors share: a batch that fails
+    half-way runs again under its old number, and rows that are noted there aren't sent again. Between
+    sending and noting a task can be lost; the other side then gets the same key once more and should
+    take it for the same request. Rows of equal keys in a batch are one request. Leave speculation off.
+    """
+    ship(requests.sparkSession)
+    names = requests.columns
+
+    def sent(place: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            store, root = filesystem(place)
+            store.create_dir(root, recursive=True)
+            for batch in batches:
+                done = []
+                for row in batch.to_pylist():
+                    key = row.pop("_request")
+                    if store.get_file_info(f"{root}/{key}").type == pafs.FileType.NotFound:
+                        send(row, key)
+                        with store.open_output_stream(f"{root}/{key}") as mark:
+                            mark.write(b"")
+                        done.append(key)
+                yield pa.RecordBatch.from_pydict({"request": pa.array(done, pa.string())})
+
+        return run
+
+    def handle(batch: DataFrame, number: int) -> None:
+        request = F.sha2(F.to_json(F.struct(F.lit(number).alias("batch"), *keys), {"ignoreNullFields": "false"}), 256)
+        rows = batch.dropDuplicates(list(keys)).select(*names, request.alias("_request"))
+        rows.mapInArrow(sent(f"{ledger.rstrip('/')}/batch={number}"), "request string").write.format("noop").mode("overwrite").save()
+
+    return intake(requests, checkpoint, handle)
+
+
 #: Seconds that times are moved by for the engine, whose watermark begins at 0 and takes all up to it for late;
 #: so times from 1902 to 2191 are in order.
 SHIFT = 1 << 31
