@@ -1,10 +1,9 @@
 """URL filters by rules, with block decisions carried over to aliases.
 
-Only DataFrame and SQL functions. URLs that differ in scheme, fragment, tracking parameters or a
-final slash are one node. Redirects and canonical links (in the pages and, where given, in a
-table) are edges between nodes, and connected components are sets of aliases. A URL that a rule
-fits gets the verdict of the longest rule; any other is blocked if a rule blocks one of its aliases
-and none allows one.
+Only DataFrame and SQL functions. URLs are nodes. Redirects and canonical links (in the pages and,
+where given, in a table) are edges between them and nothing else is; connected components are sets of
+aliases. A URL that a rule fits gets the verdict of the longest rule; any other is blocked if a rule
+blocks one of its aliases and none allows one.
 """
 
 from __future__ import annotations
@@ -16,9 +15,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenspan.llm.components import components
 
-_LINK = r"""(?is)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*\bhref\s*=\s*["']?([^"'\s>]+)"""
-_REFRESH = r"""(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""
-_TRACKING = r"(?i)(^|&)(utm_[^&=]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid)(=[^&]*)?(?=&|$)"
+_REL = r"""\srel\s*=\s*(?:"(?:[^">]*\s)?canonical(?:\s[^">]*)?"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'|canonical(?=[\s/>]))"""
+_HREF = r"""\shref\s*=\s*["']?([^"'\s>]+)"""
+_LINK = rf"(?is)<link\b(?=[^>]*{_REL})[^>]*?{_HREF}"
+_REFRESH = r"""(?is)<meta\b(?=[^>]*\shttp-equiv\s*=\s*["']?refresh\b)[^>]*\burl\s*=\s*["']?([^"'\s>;]+)"""
+#: What declares nothing: comments, scripts, styles and text areas, to their end or that of the page.
+_SILENT = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<textarea\b.*?(?:</textarea\b|\z)"
 
 
 def host_of(url: Column) -> Column:
@@ -33,25 +35,39 @@ def path_of(url: Column) -> Column:
 
 
 def node_of(url: Column) -> Column:
-    """The form that all spellings of a URL share; null where there is no ``://``."""
-    query = F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1)
-    query = F.regexp_replace(F.regexp_replace(query, _TRACKING, ""), r"^&+", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
-    return F.when(url.contains("://"), F.concat(host_of(url), path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
+    """A URL with its scheme and host in lower case, which are the same in any; null where there is no ``://``."""
+    scheme = F.translate(F.regexp_extract(url, r"(?s)^(.*?)://", 1), ascii_uppercase, ascii_lowercase)
+    rest = F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)$", 1)
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), rest))
+
+
+def _undotted(path: Column) -> Column:
+    """A path without ``.`` and ``..``, the latter with the part before it."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1).isin(".", "..")
+    step = lambda seen, x: (
+        F.when(x == ".", seen).when(x == "..", F.when(F.size(seen) > 1, F.slice(seen, F.lit(1), F.size(seen) - 1)).otherwise(seen)).otherwise(F.array_append(seen, x))
+    )
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.when(path.contains("/."), F.concat(F.array_join(kept, "/"), F.when(last, "/").otherwise(""))).otherwise(path)
 
 
 def resolved(base: Column, target: Column) -> Column:
-    """``target`` as a full URL, seen from the page ``base``; null if empty."""
+    """``target`` as a full URL, seen from the page ``base``; null if it is empty, a fragment, or no page's."""
     scheme = F.concat(F.regexp_extract(base, r"(?s)^(.*?)://", 1), F.lit(":"))
     site = F.concat(scheme, F.lit("//"), host_of(base))
-    folder = F.concat(site, F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1))
-    return (
-        F.when(F.coalesce(target, F.lit("")) == "", F.lit(None))
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    full = (
+        F.when(F.coalesce(target, F.lit("")).rlike("^(#|$)"), F.lit(None))
         .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), target)
+        .when(target.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), F.lit(None))
         .when(target.startswith("//"), F.concat(scheme, target))
         .when(target.startswith("/"), F.concat(site, target))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(site, F.lit("/"))), target))
+        .when(target.startswith("?"), F.concat(site, path_of(base), target))
+        .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
     )
+    head, tail = F.regexp_extract(full, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(full, r"(?s)^.*?://[^/?#]*[^?#]*(.*)$", 1)
+    return F.when(full.isNotNull(), F.concat(head, _undotted(path_of(full)), tail))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
@@ -68,11 +84,14 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def links_of(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(source, target)``: canonical links and redirects that the pages declare."""
+    """``(source, target)``: canonical links and redirects that the pages declare, outside comments and scripts.
+
+    The first of each kind counts. Null and empty html and null urls declare nothing; repeated rows declare
+    the same again.
+    """
     html, url = F.coalesce(F.col(html_col), F.lit("")), F.col(url_col)
-    declared = [
-        F.when(html.rlike(f"(?i){word}"), F.regexp_extract(html, pattern, 1)) for word, pattern in (("canonical", _LINK), ("refresh", _REFRESH))
-    ]
+    loud = F.regexp_replace(html, _SILENT, " ")
+    declared = [F.when(html.rlike(f"(?i){word}"), F.regexp_extract(loud, pattern, 1)) for word, pattern in (("canonical", _LINK), ("refresh", _REFRESH))]
     targets = F.array(*[resolved(url, F.replace(t, F.lit("&amp;"), F.lit("&"))) for t in declared])
     return pages.select(url.alias("source"), F.explode(F.array_compact(targets)).alias("target"))
 
@@ -128,30 +147,40 @@ def judge(
 #: The rules of ``op10``.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
+#: Components are walked from every URL; links are read in both orders of their attributes.
 ORACLE = r"""
 WITH RECURSIVE
 rules AS (SELECT * FROM (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'), ('allow','com','/fr/'), ('block','com','/de/')) v(verdict, h, p)),
 raw AS (
-  SELECT row_number() OVER () AS i, page_id, url, coalesce(html, '') AS html FROM pages),
+  SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\b|\z)|<style\b.*?(?:</style\b|\z)|<textarea\b.*?(?:</textarea\b|\z)', ' ', 'g') AS html
+  FROM pages),
+tags AS (
+  SELECT url AS source, regexp_extract_all(html, '(?is)<link\b[^>]*>') AS links,
+    replace(regexp_extract(html, '(?is)<meta\b[^>]*\shttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '&amp;', '&') AS refresh FROM raw),
 told AS (
-  SELECT url AS source, replace(unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<link\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*\brel\s*=\s*["'']?canonical\b', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\burl\s*=\s*["'']?([^"''\s>;]+)', 1)]), '&amp;', '&') AS t FROM raw),
+  SELECT source, refresh AS t FROM tags UNION ALL
+  SELECT source, replace(regexp_extract(list_filter(links, lambda x: regexp_matches(x, '(?is)\srel\s*=\s*("([^"]*\s)?canonical(\s[^"]*)?"|''([^'']*\s)?canonical(\s[^'']*)?''|canonical[\s/>])')
+    AND regexp_matches(x, '(?is)\shref\s*=\s*["'']?[^"''\s>]'))[1], '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&') FROM tags),
+split AS (
+  SELECT source, t, regexp_extract(source, '(?s)^(.*?)://', 1) || ':' AS scheme, regexp_extract(source, '(?s)^(.*?://[^/?#]*)', 1) AS site,
+    regexp_extract(source, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM told WHERE t <> '' AND NOT starts_with(t, '#')),
+joined AS (
+  SELECT source, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*:') THEN NULL
+    WHEN starts_with(t, '//') THEN scheme || t WHEN starts_with(t, '/') THEN site || t WHEN starts_with(t, '?') THEN site || path || t
+    ELSE site || coalesce(nullif(regexp_extract(path, '(?s)^(.*/)', 1), ''), '/') || t END AS whole FROM split),
+parts AS (
+  SELECT source, regexp_extract(whole, '(?s)^(.*?://[^/?#]*)', 1) AS head, string_split(regexp_extract(whole, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/') AS segments,
+    regexp_extract(whole, '(?s)^.*?://[^/?#]*[^?#]*(.*)$', 1) AS tail FROM joined WHERE whole IS NOT NULL),
 links AS (
-  SELECT source, CASE WHEN regexp_matches(t, '(?i)^[a-z][a-z0-9+.-]*://') THEN t
-    WHEN starts_with(t, '//') THEN regexp_extract(source, '(?s)^(.*?)://', 1) || ':' || t
-    WHEN starts_with(t, '/') THEN regexp_extract(source, '(?s)^(.*?://[^/?#]*)', 1) || t
-    ELSE regexp_extract(source, '(?s)^(.*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(source, '(?s)^.*?://[^/?#]*([^?#]*/)', 1), ''), '/') || t END AS target
-  FROM told WHERE t <> ''),
+  SELECT source, head || array_to_string(list_reduce(list_transform(segments, lambda x: [x]), lambda seen, x: CASE WHEN x[1] = '.' THEN seen
+      WHEN x[1] = '..' THEN CASE WHEN len(seen) > 1 THEN seen[:len(seen) - 1] ELSE seen END ELSE list_concat(seen, x) END), '/')
+    || CASE WHEN segments[-1] IN ('.', '..') THEN '/' ELSE '' END || tail AS target FROM parts),
 urls AS (SELECT DISTINCT url FROM raw WHERE url IS NOT NULL UNION SELECT source FROM links UNION SELECT target FROM links),
-parsed AS (
-  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
-    array_to_string(list_filter(string_split(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
-      lambda q: NOT regexp_matches(q, '(?is)^(utm_[^=]*|ref|fbclid|gclid|msclkid|mc_cid|mc_eid)(=.*)?$')), '&') AS query
-  FROM urls),
 named AS (
-  SELECT *, CASE WHEN contains(url, '://') THEN host || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS node FROM parsed),
+  SELECT url, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    CASE WHEN contains(url, '://') THEN translate(regexp_extract(url, '(?s)^(.*?)://', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || '://' || host
+      || regexp_extract(url, '(?s)^.*?://[^/?#]*(.*)$', 1) END AS node
+  FROM urls),
 fits AS (
   SELECT url, arg_max(struct_pack(rule := h || p, verdict := verdict), length(h || p) * 2 + (verdict = 'allow')::INT) AS fit
   FROM named JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
