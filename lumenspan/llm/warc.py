@@ -374,7 +374,7 @@ def resolve_revisits(records: DataFrame, bucket_seconds: int = BUCKET_SECONDS) -
     # Written once: files are parsed once, and Spark knows the size of what it joins.
     rows = records.where(F.col("type").isin("response", "revisit")).select(
         *("record_id", "type", "url", "date", "status", "headers", "profile", "digest", "problem", "path", "offset", "length"),
-        urls.node_of(F.col("url")).alias("canonical"),
+        urls.spelling_of(F.col("url")).alias("canonical"),
         F.floor(F.unix_timestamp("date") / bucket_seconds).alias("bucket"),
     )
     rows = shared.cut(rows, "captures")

@@ -199,3 +199,16 @@ def test_query_equals_sql(spark, tmp_path):
     names = [c[0] for c in sql.description]
     got = queries.QUERIES["op8_warc"](spark, str(tmp_path)).collect()
     assert sorted(map(str, sql.fetchall())) == sorted(str(tuple(r[c] for c in names)) for r in got)
+
+
+def test_revisit_by_another_spelling(spark):
+    urls = ["http://H.com/p/?a=1&utm_x=2#f", "https://h.com/p?&a=1", "HTTPS://h.com/p//?a=1", "http://h.com/P?a=1", "h.com/p?a=1", "http://h.com/p?a=1&ref\n", "http://h.com/p/\n?a=1"]
+    table = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [r[0] for r in table.select(warc.urls.spelling_of(table.url)).collect()]
+    assert got == ["h.com/p?a=1", "h.com/p?&a=1", "h.com/p?a=1", "h.com/P?a=1", None, "h.com/p?a=1&ref\n", "h.com/p/\n?a=1"]
+    pages = spark.createDataFrame([(i, u, "<p>") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    sql = duckdb.connect().from_arrow(pages.toArrow()).query("pages", warc.ORACLE).fetchall()
+    assert {r[0]: r[1] for r in sql} == dict(enumerate(got))
+    records = [rec("a", "response", urls[0], 1), rec("b", "revisit", urls[2], 2), rec("c", "revisit", urls[3], 3)]
+    files = warc.write_warc(spark.createDataFrame(records, warc.RECORDS), shared.scratch(spark, "warc"))
+    assert {r.record_id: r.response_id for r in warc.resolve_revisits(warc.read_warc(files)).collect()} == {"b": "a", "c": None}
