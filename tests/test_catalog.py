@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from lumenspan.plans import catalog
@@ -31,3 +33,10 @@ def test_compare_sees_rows_of_either_side(spark, con):
     assert "only Spark" in differences(spark, con, SF, rows(2), "SELECT 1 AS id WHERE false")[0]
     assert "only SQL" in differences(spark, con, SF, rows(0), "SELECT 0 AS id")[0]
     assert differences(spark, con, SF, rows(1), "SELECT 0 AS id") == []
+
+
+def test_ages_are_told_in_nearest_seconds(spark, tmp_path):
+    times = ["00:00:00.6", "00:00:00.5", "00:00:01.5", "00:00:01.6", "00:00:02.5", "00:01:00.4", "00:01:00.5"]
+    rows = [(datetime.datetime.fromisoformat(f"{day} {t}"),) for day in ("2024-01-01", "1969-12-30") for t in times]
+    spark.createDataFrame(rows, "ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    assert differences(spark, connect(tmp_path), str(tmp_path), catalog.queries()["age_labels"], catalog.oracle_sql()["age_labels"]) == []
