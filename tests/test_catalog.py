@@ -40,3 +40,9 @@ def test_ages_are_told_in_nearest_seconds(spark, tmp_path):
     rows = [(datetime.datetime.fromisoformat(f"{day} {t}"),) for day in ("2024-01-01", "1969-12-30") for t in times]
     spark.createDataFrame(rows, "ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
     assert differences(spark, connect(tmp_path), str(tmp_path), catalog.queries()["age_labels"], catalog.oracle_sql()["age_labels"]) == []
+
+
+@pytest.mark.parametrize("name", ["symbol_index", "symbol_search"])
+def test_every_file_of_a_large_repository_is_indexed(spark, tmp_path, name):
+    spark.range(2_100).selectExpr("id AS s_suppkey", "0 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    assert differences(spark, connect(tmp_path), str(tmp_path), catalog.queries()[name], catalog.oracle_sql()[name]) == []
