@@ -31,16 +31,24 @@ def diff_cursor(lines: DataFrame, key: str = "pr_id", split: bool = False) -> Da
     raw = F.col("raw")
     header = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
     number = lambda n: F.regexp_extract(raw, header, n).try_cast("int")
-    marked = lines.withColumns({"is_file": raw.startswith("diff --git "), "is_hunk": raw.rlike(header)})
-    start = F.struct(number(1).alias("old"), F.coalesce(number(2), F.lit(1)).alias("old_n"), number(3).alias("new"), F.coalesce(number(4), F.lit(1)).alias("new_n"))
-    one = lambda c: F.when(F.col(c), 1).otherwise(0)
-    named = {"file": F.when(F.col("is_file"), F.regexp_extract(raw, r"^diff --git a/.+ b/(.+)$", 1))}
-    carried = run(marked, [key], ["pos"], {"file_id": one("is_file")}, named)
-    carried = run(carried, [key, "file_id"], ["pos"], {"hunk_id": one("is_hunk")}, {"start": F.when(F.col("is_hunk"), start)})
-    body = carried.where(F.col("start").isNotNull() & ~F.col("is_hunk") & ~raw.startswith("\\"))
     sign = F.substring("raw", 1, 1)
-    seen = {"old_seen": F.when(sign == "+", 0).otherwise(1), "new_seen": F.when(sign == "-", 0).otherwise(1)}
-    counted = run(body, [key, "file_id", "hunk_id"], ["pos"], seen, before=True)
+    # All windows have one key and order, so a diff is sorted once.
+    marked = lines.withColumns({"is_file": raw.startswith("diff --git "), "is_hunk": raw.startswith("@@ -") & raw.rlike(header)})
+    one = lambda c: F.when(c, 1).otherwise(0)
+    counts = ~raw.startswith("\\")
+    on_old, on_new = one(counts & (sign != "+")), one(counts & (sign != "-"))
+    named = {"file": F.when(F.col("is_file"), F.regexp_extract(raw, r"^diff --git a/.+ b/(.+)$", 1))}
+    carried = run(marked, [key], ["pos"], {"hunks": one(F.col("is_hunk")), "old_upto": on_old, "new_upto": on_new}, named)
+    start = F.struct(
+        F.col("is_hunk").alias("open"),  # a file's header ends the hunk before it
+        *(number(1).alias("old"), F.coalesce(number(2), F.lit(1)).alias("old_n"), number(3).alias("new"), F.coalesce(number(4), F.lit(1)).alias("new_n")),
+        *("old_upto", "new_upto"),
+    )
+    begun = {"hunks_before": F.when(F.col("is_file"), F.col("hunks")), "start": F.when(F.col("is_file") | F.col("is_hunk"), start)}
+    carried = run(carried, [key], ["pos"], lasts=begun)
+    body = carried.where(F.col("start.open") & ~F.col("is_hunk") & counts)
+    seen = {"old_seen": F.col("old_upto") - on_old - F.col("start.old_upto"), "new_seen": F.col("new_upto") - on_new - F.col("start.new_upto")}
+    counted = body.withColumns(seen).withColumn("hunk_id", F.col("hunks") - F.coalesce("hunks_before", F.lit(0)))
     inside = counted.where((F.col("old_seen") < F.col("start.old_n")) | (F.col("new_seen") < F.col("start.new_n")))
     change = F.when(sign == "+", "added").when(sign == "-", "removed").otherwise("context")
     return inside.select(

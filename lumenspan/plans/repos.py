@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenspan.functions.workers import spread
+from lumenspan.functions.workers import spread, tasks_for
 from lumenspan.operators import features, findings, index, lineage, pipelines, reports, schema_changes, select, stores
 from lumenspan.plans.groups import LATEST_SQL, TOKENS_SQL, _index, _latest
 from lumenspan.plans.joins import SETS_SQL, _sets
@@ -242,17 +242,19 @@ def diff_cursor(spark, sf_dir):
 
     from lumenspan.operators import lines
 
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    order = Window.partitionBy("pr_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     kind, part = F.col("l_returnflag"), F.col("l_partkey")
     sign = F.when(kind == "R", "-").when(kind == "A", "+").otherwise(" ")
     text = F.concat(F.when(part % 5 == 0, "-- part ").when(part % 5 == 1, "++ part ").otherwise("part "), part.cast("string"))
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(order).alias("n"), sign.alias("sign"), F.concat(sign, text, F.lit("\n")).alias("raw"))
+    given = table(spark, sf_dir, "lineitem")
+    own = given.withColumn("pr_id", F.col("l_orderkey").cast("string")).repartition(tasks_for(given), "pr_id")  # the only shuffle
+    items = own.select("pr_id", F.row_number().over(order).alias("n"), sign.alias("sign"), F.concat(sign, text, F.lit("\n")).alias("raw"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "raw"))), lambda x: x["raw"]), "")
-    grouped = items.groupBy("l_orderkey").agg(F.count_if(F.col("sign") != "+").alias("old"), F.count_if(F.col("sign") != "-").alias("new"), body.alias("body"))
-    name = F.concat(F.lit("o/"), F.col("l_orderkey").cast("string"), F.lit(".sql"))
+    grouped = items.groupBy("pr_id").agg(F.count_if(F.col("sign") != "+").alias("old"), F.count_if(F.col("sign") != "-").alias("new"), body.alias("body"))
+    name = F.concat(F.lit("o/"), "pr_id", F.lit(".sql"))
     head = F.concat(F.lit("diff --git a/"), name, F.lit(" b/"), name, F.lit("\n--- a/"), name, F.lit("\n+++ b/"), name)
     hunk = F.format_string("\n@@ -10,%d +20,%d @@\n", "old", "new")
-    diffs = grouped.select(F.col("l_orderkey").cast("string").alias("pr_id"), F.concat(head, hunk, "body").alias("diff"))
+    diffs = grouped.select("pr_id", F.concat(head, hunk, "body").alias("diff"))
     return lines.diff_cursor(lines.diff_lines(diffs)).drop("pos")
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from lumenspan.functions.workers import tasks_for
 from lumenspan.operators import lines
 from lumenspan.operators.running import numbered, running
 
@@ -57,3 +58,24 @@ def test_one_diff_in_many_tasks(spark):
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.count() > 500
     kept = [sorted(map(tuple, lines.kept_sections(table, ["f3"], split=s).collect())) for s in (False, True)]
     assert kept[0] == kept[1]
+
+
+def test_a_diff_is_sorted_once(spark):
+    table = spark.createDataFrame([("p", 1, "diff --git a/x b/x")], "pr_id string, pos int, raw string")
+    plan = lines.diff_cursor(table)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") > 1
+    executed = lines.diff_cursor(table)._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Sort [") == 1
+
+
+def test_a_hunk_ends_with_its_file(spark):
+    raw = ["@@ -7 +7 @@", " early", "diff --git a/x b/y", " no hunk", "@@ -1,2 +1,9 @@", "-- a", "", "\\ No newline", "+b", "diff --git a/z b/z", "+lost", "@@ -4 +5 @@", "-c", "+d", "+over"]
+    table = spark.createDataFrame([("p", n, r) for n, r in enumerate(raw)] + [("q", 0, None), ("q", 1, "+x")], "pr_id string, pos int, raw string")
+    want = [(1, None, 1, 7, 7), (5, "y", 1, 1, None), (6, "y", 1, 2, 1), (8, "y", 1, None, 2), (12, "z", 1, 4, None), (13, "z", 1, None, 5)]
+    for split in (False, True):
+        got = lines.diff_cursor(table, split=split).select("pos", "file", "hunk_id", "old_line", "new_line").collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_more_rows_are_dealt_to_more_tasks(spark):
+    assert tasks_for(spark.range(2_000_001), 100_000) == 21 and tasks_for(spark.range(0)) == spark.sparkContext.defaultParallelism
