@@ -66,7 +66,8 @@ def stale(refreshed_at: Column, now: Column, days: int) -> Column:
 def related(history: DataFrame, keys: Sequence[str], member: str, changed: DataFrame, order: Sequence[Column], n: int = LIMITS.related_history) -> DataFrame:
     """The newest ``n`` keys of ``history`` that share a member with ``changed``."""
     shared = history.join(changed.select(member).distinct(), member, "left_semi").select(*keys).distinct()
-    return history.select(*keys, *[c for c in history.columns if c not in (*keys, member)]).distinct().join(shared, list(keys), "left_semi").orderBy(*order).limit(n)
+    rows = history.select(*keys, *[c for c in history.columns if c not in (*keys, member)])
+    return rows.join(shared, list(keys), "left_semi").distinct().orderBy(*order).limit(n)  # only what is shared is told apart
 
 
 def relevant_context(contexts: DataFrame, text: str, explicit: Sequence[str] = (), repo: str = "") -> DataFrame:

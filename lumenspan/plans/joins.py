@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumenspan.functions.workers import tasks_for
 from lumenspan.operators import graph, joins, select, stores
 from lumenspan.plans.shared import documents, query, table
 
@@ -47,7 +48,8 @@ def rename_pairing(spark, sf_dir):
 def overlap_recent5(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
-    history = orders.join(items.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey"), "o_orderkey")
+    own = items.select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").repartition(tasks_for(items), "o_orderkey")
+    history = orders.join(own, "o_orderkey")
     changed = items.where("l_quantity = 50 and l_returnflag = 'R'")
     return stores.related(history, ["o_orderkey"], "l_partkey", changed, [F.desc("o_orderdate"), F.col("o_orderkey")]).select("o_orderkey")
 
