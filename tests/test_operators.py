@@ -339,6 +339,21 @@ def test_call_limit(spark, tmp_path):
         events.limited(spark.createDataFrame(calls, "user_id long, seconds double"))
 
 
+def test_call_limits_of_keys_that_share_a_group(spark, tmp_path):
+    rng = random.Random(5)
+    calls = [(f"u{rng.randrange(40)}", float(rng.randrange(900))) for _ in range(600)]
+    (tmp_path / "calls").mkdir()
+    stream = spark.readStream.schema("user_id string, seconds double").json(str(tmp_path / "calls"))
+    got = []
+    for part in range(3):  # later calls meet what was let through before
+        lines = [json.dumps({"user_id": k, "seconds": t}) for k, t in calls if t // 300 == part]
+        (tmp_path / "calls" / f"{part}.json").write_text("\n".join(lines))
+        more, run = waits_of(spark, events.limited(stream, most=3, window=200, groups=2), tmp_path / "marks")
+        got += more
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in run.recentProgress if p["stateOperators"]) < 40  # not one for each key and call
+    assert sorted(got) == brute_waits(calls, 3, 200)
+
+
 @pytest.mark.parametrize("per_frame", [3, 10_000])
 def test_call_limit_is_the_same_however_calls_are_split(spark, tmp_path, per_frame):
     rng = random.Random(7)
